@@ -1,0 +1,23 @@
+"""All queries of the core, by name."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators import orphans
+from .sources.tables import table
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    refs = orphans.reference_fields(table(spark, root, "crosswalk_mappings"), table(spark, root, "standard_relationships"), table(spark, root, "sub_standards"))
+    return orphans.find_orphans(refs, table(spark, root, "standards"), table(spark, root, "retired_standards"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p6_found": p6_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
