@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import components, consensus, encoding, neardup, neighbours, packing, topn
+from . import components, consensus, encoding, neardup, neighbours, packing, sentences, topn
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -43,8 +43,12 @@ def p9_packed(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_documents(table(spark, root, "documents"))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, root, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p7_found, p7_groups, p8_ids, p9_packed)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p7_found, p7_groups, p8_ids, p9_packed, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
