@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import components, consensus, encoding, neardup, neighbours, packing, sentences, topn
+from . import components, consensus, encoding, neardup, neighbours, packing, scans, sentences, topn
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -19,6 +20,20 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbours.nearest_pairs(vectors, 5, 64)
 
 
+def _scanned(spark: SparkSession, root: str) -> DataFrame:
+    standards = table(spark, root, "standards").select(F.lit("standards").alias("tbl"), "id", F.col("standard_text").alias("text"))
+    subs = table(spark, root, "sub_standards").select(F.lit("sub_standards").alias("tbl"), "id", "text")
+    return standards.unionAll(subs)
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return scans.find_noise(_scanned(spark, root)).select("tbl", "id")
+
+
+def p3_repaired(spark: SparkSession, root: str) -> DataFrame:
+    return scans.repair_texts(_scanned(spark, root)).distinct()
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return components.match_groups(table(spark, root, "crosswalk_mappings"))
 
@@ -48,7 +63,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p7_found, p7_groups, p8_ids, p9_packed, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_repaired, p4_found, p5_found, p7_found, p7_groups, p8_ids, p9_packed, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
