@@ -4,11 +4,13 @@ Each (element, weight) owns the strip [0, weight) of the plane. Darts with posit
 thrown at it, with uniform density; a dart that lands in the strip belongs to the set. The darts of a set are the
 union of its elements' darts. Every dart is hashed to one of ``k`` coordinates, and each coordinate keeps its earliest
 dart: a weighted min-hash of the set, whose agreement probability is the weighted Jaccard similarity. Only darts up to
-a rank at which all coordinates are almost surely filled are thrown; a set with an empty coordinate doubles the rank.
+a rank at which all coordinates are almost surely filled are thrown; a set with an empty coordinate doubles the rank. Elements
+of weight 1 keep their earliest darts in a table, so a set's signature is the minimum over its rows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -22,6 +24,9 @@ from ..operators.lineage import cut
 #: Rows of a band and number of bands. A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8**7)**44 = 0.99997.
 ROWS, BANDS = 7, 44
 
+#: Elements whose darts a worker keeps.
+KEPT = 16_384
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -35,14 +40,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _poisson_from(u: float, mean: float) -> int:
-    term = total = math.exp(-mean)
-    n = 0
-    while u > total and n < 1000:
-        n += 1
-        term *= mean / n
-        total += term
-    return n
+@functools.lru_cache(maxsize=64)
+def _poisson_table(mean: float) -> np.ndarray:
+    """Cumulated probabilities of the counts 0, 1, 2 ... of a Poisson variable."""
+    size = int(mean + 12 * math.sqrt(mean) + 24)
+    logs = np.arange(size) * math.log(mean) - mean - np.cumsum(np.log(np.maximum(np.arange(size), 1)))
+    return np.cumsum(np.exp(logs))
+
+
+def _fraction(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(11)).astype(np.float64) / 2**53
 
 
 class DartMinHash:
@@ -51,70 +58,100 @@ class DartMinHash:
     def __init__(self, k: int, seed: int = 1) -> None:
         self.k, self.seed = k, seed
         self.total = k * math.log(k) + 2 * k
-        self._darts: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self._rows: dict[int, int] = {}
+        self._rank = np.zeros((0, k), dtype=np.float32)
+        self._hash = np.zeros((0, k), dtype=np.uint64)
+        self._layers = 0
 
-    def _cell(self, element: int, row: int, layer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Darts of the element with weights in [row, row + 1) and ranks of one dyadic layer: [0,1), [1,2), [2,4), [4,8) ...
+    def _throw(self, elements: np.ndarray, row: int, layer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Darts of each element with weights in [row, row + 1) and ranks of one dyadic layer: [0,1), [1,2), [2,4), [4,8) ...
 
-        Returned as (weight position, rank, hash); their number is Poisson with the area of the cell as its mean.
+        Returned as (index of the element, weight position, rank, hash). Their number is Poisson with the area of the cell as its mean.
         """
-        base = np.uint64((element ^ (row * 0x9E3779B97F4A7C15) ^ (layer * 0xC2B2AE3D27D4EB4F) ^ (self.seed * 0x165667B19E3779F9)) & (2**64 - 1))
-        head = int(_mix(np.array([base], dtype=np.uint64))[0])
-        width = low = 0.0 if layer == 0 else float(2 ** (layer - 1))
-        width = width or 1.0
-        n = _poisson_from((head >> 11) / 2**53, width) if width <= 32 else self._large(head, width)
+        low, width = (0.0, 1.0) if layer == 0 else (float(2 ** (layer - 1)), float(2 ** (layer - 1)))
+        place = (row * 0x9E3779B97F4A7C15 ^ layer * 0xC2B2AE3D27D4EB4F ^ self.seed * 0x165667B19E3779F9) & (2**64 - 1)
+        head = _mix(elements ^ np.uint64(place))
+        counts = np.searchsorted(_poisson_table(width), _fraction(head), side="right")
+        which = np.repeat(np.arange(len(elements)), counts)
+        nth = (np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
         with np.errstate(over="ignore"):
-            h = _mix(np.uint64(head) + np.arange(1, 3 * n + 1, dtype=np.uint64) * _GOLD)
-        u = (h >> np.uint64(11)).astype(np.float64) / 2**53
-        return row + u[:n], low + width * u[n : 2 * n], h[2 * n : 3 * n]
-
-    def _strip(self, element: int, rows: int, layers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All darts of the element in the first ``rows`` weights and ``layers`` layers; kept for the next set with it."""
-        key = (element, rows, layers)
-        got = self._darts.get(key)
-        if got is None:
-            cells = [self._cell(element, row, layer) for row in range(rows) for layer in range(layers)]
-            pos, rank, h = (np.concatenate(part) for part in zip(*cells, strict=True))
-            if len(self._darts) > 60_000:
-                self._darts.clear()
-            got = self._darts[key] = (pos, rank, h)
-        return got
-
-    def _large(self, head: int, width: float) -> int:
-        """A Poisson count of a large mean as a sum of counts of small means."""
-        parts = int(width // 32)
-        h = _mix(np.uint64(head) ^ (np.arange(1, parts + 1, dtype=np.uint64) * _M1))
-        return sum(_poisson_from(int(x >> np.uint64(11)) / 2**53, width / parts) for x in h)
+            start = head[which] + nth * np.uint64(3) * _GOLD
+            h = _mix(start + np.uint64(2) * _GOLD)
+            rank = low + width * _fraction(_mix(start + _GOLD))
+            pos = row + _fraction(_mix(start + np.uint64(3) * _GOLD))
+        return which, pos, rank.astype(np.float32), h
+
+    def _learn(self, elements: np.ndarray) -> None:
+        """Earliest dart of each coordinate for elements of weight 1, as rows of a table that is kept for later sets."""
+        new = np.array(sorted(set(elements.tolist()) - self._rows.keys()), dtype=np.uint64)
+        if not len(new):
+            return
+        if len(self._rows) + len(new) > KEPT:
+            self._rows, self._rank, self._hash = {}, self._rank[:0], self._hash[:0]
+            new = np.unique(elements)
+        rank = np.full((len(new), self.k), np.inf, dtype=np.float32)
+        value = np.zeros((len(new), self.k), dtype=np.uint64)
+        for layer in range(self._layers):
+            which, _, r, h = self._throw(new, 0, layer)
+            late_first = np.argsort(-r, kind="stable")
+            which, r, h = which[late_first], r[late_first], h[late_first]
+            coord = (h % np.uint64(self.k)).astype(np.int64)
+            first = np.isinf(rank)  # later layers only fill what earlier ones left
+            open_ = first[which, coord]
+            rank[which[open_], coord[open_]] = r[open_]
+            value[which[open_], coord[open_]] = h[open_]
+        base = len(self._rank)
+        self._rows |= {e: base + i for i, e in enumerate(new.tolist())}
+        self._rank, self._hash = np.concatenate([self._rank, rank]), np.concatenate([self._hash, value])
+
+    def signatures(self, sets: list[np.ndarray]) -> list[np.ndarray | None]:
+        """Signatures of sets whose elements all have weight 1; None for an empty set."""
+        least = min((len(s) for s in sets if len(s)), default=1)
+        layers = 1 + max(1, math.ceil(math.log2(self.total / least)))
+        if layers > self._layers:
+            self._layers, self._rows, self._rank, self._hash = layers, {}, self._rank[:0], self._hash[:0]
+        at = np.arange(self.k)
+        out: list[np.ndarray | None] = []
+        some = max(1, KEPT // (1 + max((len(s) for s in sets), default=1)))
+        for i in range(0, len(sets), some):
+            part = sets[i : i + some]
+            if any(len(s) for s in part):
+                self._learn(np.concatenate(part))
+            for s in part:
+                if not len(s):
+                    out.append(None)
+                    continue
+                rows = np.fromiter(map(self._rows.__getitem__, s.tolist()), dtype=np.int64, count=len(s))
+                ranks = self._rank[rows]
+                best = ranks.argmin(axis=0)
+                full = not np.isinf(ranks[best, at]).any()
+                out.append(self._hash[rows[best], at] if full else self.signature(s))
+        return out
 
     def signature(self, elements: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray | None:
         """One value for each coordinate; None for a set without weight."""
         weights = np.ones(len(elements)) if weights is None else np.asarray(weights, dtype=np.float64)
-        keep = weights > 0
-        elements, weights = elements[keep], weights[keep]
+        elements, weights = elements[weights > 0], weights[weights > 0]
         mass = float(weights.sum())
         if not mass:
             return None
-        top = self.total / mass
+        layers = 1 + max(1, math.ceil(math.log2(max(2.0, self.total / mass))))
         while True:
-            layers = 1 if top <= 1 else 1 + math.ceil(math.log2(top))
             ranks, values = [], []
-            for e, w in zip(elements.tolist(), weights.tolist(), strict=True):
-                rows = math.ceil(w)
-                pos, rank, h = self._strip(e, rows, layers)
-                if rows > w:
-                    inside = pos < w
-                    rank, h = rank[inside], h[inside]
-                ranks.append(rank)
-                values.append(h)
+            for row in range(math.ceil(weights.max())):
+                tall = weights > row
+                for layer in range(layers):
+                    which, pos, rank, h = self._throw(elements[tall], row, layer)
+                    inside = pos < weights[tall][which]
+                    ranks.append(rank[inside])
+                    values.append(h[inside])
             rank, h = np.concatenate(ranks), np.concatenate(values)
-            inside = rank < top
-            rank, h = rank[inside], h[inside]
             slot = np.full(self.k, -1)
             late_first = np.argsort(-rank, kind="stable")
             slot[(h[late_first] % np.uint64(self.k)).astype(np.int64)] = late_first  # the last write, the earliest dart, stays
             if (slot >= 0).all():
                 return h[slot]
-            top *= 2
+            layers += 1
 
 
 def _bands(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator[pa.RecordBatch]:
@@ -124,9 +161,13 @@ def _bands(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator
         col = batch.column("elements")
         ends, flat = np.asarray(col.offsets), np.asarray(col.values).view(np.uint64)
         weights = np.asarray(batch.column("weights").values) if "weights" in batch.schema.names else None
+        sets = [flat[ends[i] : ends[i + 1]] for i in range(batch.num_rows)]
+        if weights is None:
+            signed = sketch.signatures(sets)
+        else:
+            signed = [sketch.signature(x, weights[ends[i] : ends[i + 1]]) for i, x in enumerate(sets)]
         reps, ids, keys = batch.column("rep"), [], []
-        for i in range(batch.num_rows):
-            sig = sketch.signature(flat[ends[i] : ends[i + 1]], None if weights is None else weights[ends[i] : ends[i + 1]])
+        for i, sig in enumerate(signed):
             if sig is None:
                 continue
             mixed = salt.copy()
