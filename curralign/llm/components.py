@@ -18,15 +18,15 @@ from ..operators.lineage import cut
 
 
 def _collapse(parent: DataFrame) -> DataFrame:
-    """Pointer doubling on ``v, p`` until every ``p`` is a root. Roots point at themselves."""
+    """Pointer doubling on ``v, p`` until every ``p`` is a root, three doublings at a time. Roots point at themselves."""
     while True:
-        up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        two = parent.join(up, "p", "left").select("v", F.col("p").alias("was"), F.coalesce("q", "p").alias("p"))
-        up2 = two.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        four = two.join(up2, "p", "left").select("v", "was", F.coalesce("q", "p").alias("p"))
-        four = cut(four)
-        parent = four.select("v", "p")
-        if four.where("p <> was").isEmpty():
+        now = parent.withColumn("was", F.col("p"))
+        for _ in range(3):
+            up = now.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            now = now.select("v", "p").join(up, "p").select("v", F.col("p").alias("was"), F.col("q").alias("p"))
+        now = cut(now)
+        parent = now.select("v", "p")
+        if now.where("p <> was").isEmpty():
             return parent
 
 
@@ -43,7 +43,7 @@ def boruvka_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         .distinct()
     )
     edges = cut(edges)
-    labels: DataFrame | None = None
+    moves: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select(F.col("x").alias("v"), F.col("y").alias("w")).unionAll(edges.select("y", "x"))
         hook = both.groupBy("v").agg(F.min("w").alias("p"))
@@ -51,11 +51,7 @@ def boruvka_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         mutual = (F.col("q") == F.col("v")) & (F.col("v") < F.col("p"))
         tree = hook.join(back, "p").select("v", F.when(mutual, F.col("v")).otherwise(F.col("p")).alias("p"))
         root = _collapse(tree)
-        if labels is None:
-            labels = root.select(F.col("v").alias("id"), F.col("p").alias("g"))
-        else:
-            move = root.select(F.col("v").alias("g"), F.col("p").alias("to"))
-            labels = cut(labels.join(move, "g", "left").select("id", F.coalesce("to", "g").alias("g")))
+        moves.append(root)
         rx, ry = root.select(F.col("v").alias("x"), F.col("p").alias("rx")), root.select(F.col("v").alias("y"), F.col("p").alias("ry"))
         edges = cut(
             edges.join(rx, "x")
@@ -64,9 +60,13 @@ def boruvka_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
             .select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y"))
             .distinct()
         )
-    if labels is None:
+    if not moves:
         kind = dict(edges.dtypes)["x"]
         return edges.select(F.col("x").cast(kind).alias("id"), F.col("y").cast(kind).alias("group_id")).limit(0)
+    labels = moves[0].select(F.col("v").alias("id"), F.col("p").alias("g"))
+    for root in moves[1:]:  # at most log2(n) of them
+        move = root.select(F.col("v").alias("g"), F.col("p").alias("to"))
+        labels = labels.join(move, "g", "left").select("id", F.coalesce("to", "g").alias("g"))
     smallest = labels.groupBy("g").agg(F.min("id").alias("group_id"))
     return labels.join(smallest, "g").select("id", "group_id")
 
