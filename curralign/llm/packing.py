@@ -1,14 +1,15 @@
 """Filling fixed-capacity containers: bounded-space online packing.
 
 Each partition keeps a fixed number of open containers. An item goes to the fullest open one that has room (best fit);
-when none has, the fullest is emitted and a new one opened. What is still open at a partition's end is left over; the
-leftovers are items of the next level, which packs them whole over a sixteenth of the partitions, until one partition is
-left. A level's input is at most ``open_windows`` containers for each partition before it.
+when none has, the fullest is emitted and a new one opened. The items of containers that are still open at a partition's end
+are left over; the next level packs them anew over a sixteenth of the partitions, until one partition is left, which takes
+them largest first and emits everything. A level's input is what fits into ``open_windows`` containers for each partition before it.
 """
 
 from __future__ import annotations
 
 import bisect
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,72 +25,94 @@ CAPACITY, OPEN = 2_048, 64
 
 
 class OpenWindows:
-    """At most ``limit`` open containers, kept sorted by fill."""
+    """At most ``limit`` open containers with their items, kept sorted by fill."""
 
-    def __init__(self, capacity: int, limit: int, prefix: str) -> None:
-        self.capacity, self.limit, self.prefix = capacity, limit, prefix
+    def __init__(self, capacity: int, limit: int) -> None:
+        self.capacity, self.limit = capacity, limit
         self.fills: list[int] = []
-        self.names: list[str] = []
-        self.made = 0
+        self.items: list[list[int]] = []
 
-    def place(self, size: int) -> tuple[str, str | None]:
-        """The container of an item of ``size``, and the name of one that was emitted for it or became full."""
+    def place(self, item: int, size: int) -> list[int] | None:
+        """Puts an item into a container; the items of a container that became full or was emitted for it."""
         done = None
         at = bisect.bisect_right(self.fills, self.capacity - size) - 1
         if at < 0:
             if len(self.fills) >= self.limit:
                 self.fills.pop()
-                done = self.names.pop()
-            name, fill = f"{self.prefix}-{self.made}", size
-            self.made += 1
+                done = self.items.pop()
+            held, fill = [item], size
         else:
-            name, fill = self.names.pop(at), self.fills.pop(at) + size
-        if fill < self.capacity:
-            to = bisect.bisect_left(self.fills, fill)
-            self.fills.insert(to, fill)
-            self.names.insert(to, name)
-        return name, done
-
-
-def _pack(batches: Iterator[pa.RecordBatch], capacity: int, limit: int, level: int) -> Iterator[pa.RecordBatch]:
-    """Rows (item, size) to (item, container, null); at the end one row (null, container, fill) for each open container."""
+            held, fill = self.items.pop(at), self.fills.pop(at) + size
+            held.append(item)
+        if fill >= self.capacity and done is None:
+            return held
+        to = bisect.bisect_left(self.fills, fill)
+        self.fills.insert(to, fill)
+        self.items.insert(to, held)
+        return done
+
+
+def _pack(batches: Iterator[pa.RecordBatch], capacity: int, limit: int, level: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (item, size) to (item, size, container); those left over come out last, without a container."""
     context = TaskContext.get()
-    windows = OpenWindows(capacity, limit, f"{level}-{context.partitionId() if context else 0}")
-    kind = None
-    names = ["item", "container", "open_fill"]
+    prefix = f"{level}-{context.partitionId() if context else 0}"
+    windows = OpenWindows(capacity, sys.maxsize if last else limit)  # the last level's input is bounded by the levels before
+    made = 0
+    waiting: dict[int, pa.RecordBatch] = {}  # batches that still have rows in open containers
+    base = 0
+    starts: list[int] = []
+
+    def rows_of(groups: list[list[int]], named: bool) -> Iterator[pa.RecordBatch]:
+        """The rows of whole containers, taken from each waiting batch at once."""
+        nonlocal made
+        by_batch: dict[int, tuple[list[int], list[str | None]]] = {}
+        for group in groups:
+            name = f"{prefix}-{made}" if named else None
+            made += named
+            for row in group:
+                at = starts[bisect.bisect_right(starts, row) - 1]
+                rows, names = by_batch.setdefault(at, ([], []))
+                rows.append(row - at)
+                names.append(name)
+        for at, (rows, names) in by_batch.items():
+            part = waiting[at].take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string())], names=["item", "size", "container"])
+
     for batch in batches:
-        kind = batch.schema.field(0).type
-        sizes = batch.column(1).to_pylist()
-        placed = [windows.place(s)[0] for s in sizes]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(placed, pa.string()), pa.nulls(len(sizes), pa.int64())], names=names)
-    if windows.names and kind is not None:
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(windows.names), kind), pa.array(windows.names, pa.string()), pa.array(windows.fills, pa.int64())], names=names
-        )
+        if not batch.num_rows:
+            continue
+        waiting[base] = batch
+        starts.append(base)
+        closed = [g for i, size in enumerate(batch.column(1).to_pylist()) if (g := windows.place(base + i, size)) is not None]
+        base += batch.num_rows
+        yield from rows_of(closed, True)
+        needed = {starts[bisect.bisect_right(starts, r) - 1] for held in windows.items for r in held}
+        waiting = {s: b for s, b in waiting.items() if s in needed}
+    yield from rows_of(windows.items, last)
 
 
 def pack(items: DataFrame, item_col: str, size_col: str, capacity: int = CAPACITY, open_windows: int = OPEN) -> DataFrame:
     """``item_col, container``: every item with a positive size in exactly one container whose sizes sum to at most ``capacity``.
 
-    A size above ``capacity`` is an error of the caller (split such items first); a null, zero or negative size takes no
+    A size above ``capacity`` has a container to itself, so split such items first; a null, zero or negative size takes no
     room and gives no row. Items may repeat; each row is placed on its own.
     """
     kind = dict(items.dtypes)[item_col]
-    rows = items.where(F.col(size_col) > 0).select(F.col(item_col).alias("item"), F.col(size_col).cast("long").alias("size"))
-    first = cut(rows.mapInArrow(lambda it: _pack(it, capacity, open_windows, 0), f"item {kind}, container string, open_fill bigint"))
-    placed = first.where("open_fill is null").select("item", "container")
-    left = first.where("open_fill is not null").select(F.col("container").alias("item"), F.col("open_fill").alias("size"))
-    parts, level, moves = first.rdd.getNumPartitions(), 0, []
-    while parts > 1:
-        level += 1
-        parts = -(-parts // 16)
-        spread = left.repartition(parts, F.substring_index("item", "-", 2)).sortWithinPartitions(F.col("size").desc(), "item")
-        step = cut(spread.mapInArrow(lambda it, lv=level: _pack(it, capacity, open_windows, lv), "item string, container string, open_fill bigint"))
-        moves.append(step.where("open_fill is null").select(F.col("item").alias("container"), F.col("container").alias("to")))
-        left = step.where("open_fill is not null").select(F.col("container").alias("item"), F.col("open_fill").alias("size"))
-    for move in moves:
-        placed = placed.join(move, "container", "left").select("item", F.coalesce("to", "container").alias("container"))
-    return placed.select(F.col("item").alias(item_col), "container")
+    left = items.where(F.col(size_col) > 0).select(F.col(item_col).alias("item"), F.col(size_col).cast("long").alias("size"))
+    schema = f"item {kind}, size bigint, container string"
+    parts = max(1, left.rdd.getNumPartitions())
+    level, placed = 0, None
+    while True:
+        last = parts == 1
+        step = cut(left.mapInArrow(lambda it, lv=level, end=last: _pack(it, capacity, open_windows, lv, end), schema))
+        done = step.where("container is not null").select("item", "container")
+        placed = done if placed is None else placed.unionByName(done)
+        if last:
+            return placed.select(F.col("item").alias(item_col), "container")
+        level, parts = level + 1, -(-parts // 16)
+        left = step.where("container is null").select("item", "size").repartition(parts, F.xxhash64("item"))
+        order = [F.col("size").desc(), F.col("item")] if parts == 1 else [F.xxhash64(F.lit(level), "item"), F.col("item")]
+        left = left.sortWithinPartitions(*order)
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:

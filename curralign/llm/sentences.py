@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: A name, a number or a lower-case word goes on; the stop never ends a sentence.
 NEVER_FINAL = frozenset(
     "dr mr mrs ms prof st jr messrs rev hon gen col capt lt sgt vs v viz cf e.g i.e eg ie approx no nos fig figs ch sec vol pp p ed eds al"
-    " sr sra srta dra d da pág págs núm art ej cap aprox ud uds"
+    " sr sra srta dra d pág págs núm art ej cap aprox ud uds"
     " m mm mme mlle me chap env ex fig n"
     " ca bzw abb nr s z b hr fr bspw vgl d.h dh evtl ggf inkl kap bd"
     " κ κα δρ βλ σελ σχ π.χ αρ κεφ"
