@@ -54,9 +54,10 @@ def flatten_tree(nodes: DataFrame, set_col: str = "set_id") -> DataFrame:
 
 def fixed_roles(nodes: DataFrame, set_col: str = "set_id") -> tuple[DataFrame, DataFrame]:
     """(standards, sub_standards) of a tree whose depth 0 is the domain, 1 the cluster, 2 the standard and 3 its parts."""
-    named = {d: nodes.where(F.col("depth") == d).select(set_col, F.col("id").alias(f"id{d}"), F.col("description").alias(f"text{d}"), F.col("parent").alias(f"parent{d}")) for d in (0, 1)}
-    std = nodes.where("depth = 2").join(named[1], (nodes[set_col] == named[1][set_col]) & (F.col("parent") == F.col("id1")), "left").drop(named[1][set_col])
-    std = std.join(named[0], (std[set_col] == named[0][set_col]) & (F.col("parent1") == F.col("id0")), "left").drop(named[0][set_col])
+    def level(d: int) -> DataFrame:
+        return nodes.where(F.col("depth") == d).select(set_col, F.col("id").alias(f"id{d}"), F.col("description").alias(f"text{d}"), F.col("parent").alias(f"id{d - 1}" if d else "above"))
+
+    std = nodes.where("depth = 2").withColumn("id1", F.col("parent")).join(level(1), [set_col, "id1"], "left").join(level(0), [set_col, "id0"], "left")
     standards = std.select(set_col, "id", "notation", "description", F.coalesce("text0", F.lit("")).alias("domain"), F.col("text1").alias("cluster"))
     w = Window.partitionBy(set_col, "parent").orderBy("position", "id")
     subs = nodes.where("depth = 3").select(set_col, "id", F.col("parent").alias("parent_id"), F.col("description").alias("text"), F.row_number().over(w).alias("position"))

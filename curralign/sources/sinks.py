@@ -29,7 +29,7 @@ def write_json_lines(df: DataFrame, path: str) -> DataFrame:
     """Writes JSON lines and returns ``file, lines, bytes, sha256`` for each file, hashed in the cluster."""
     df.write.mode("overwrite").json(path)
     files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
-    lines = F.length(F.regexp_replace(F.decode("content", F.lit("UTF-8")), r"[^\n]", ""))
+    lines = F.length(F.regexp_replace(F.decode("content", "UTF-8"), r"[^\n]", ""))
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), lines.alias("lines"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
