@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,4 +152,25 @@ def direct_pairs(candidates: DataFrame, mapped: DataFrame, floor: float = 0.55,
     return one.unionByName(one.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "confidence_score", (-F.col("delta")).alias("delta")))
 
 
+def run_steps(steps: list[tuple[str, Callable[[], object]]], fresh: set[str] = frozenset(), tries: int = 2) -> list[tuple[str, str]]:
+    """Runs named steps in order, each up to ``tries`` times, and skips those in ``fresh``: ``(name, done | skipped | failed)``.
+
+    A step that fails for good does not stop the later ones; a retry that works counts as done.
+    """
+    out = []
+    for name, step in steps:
+        if name in fresh:
+            out.append((name, "skipped"))
+            continue
+        for n in range(tries):
+            try:
+                step()
+                out.append((name, "done"))
+                break
+            except Exception:
+                if n == tries - 1:
+                    out.append((name, "failed"))
+    return out
+
+
 SCORE_FORMS = {"any": SCORED, "export": LLM_SCORED}

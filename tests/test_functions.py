@@ -96,3 +96,27 @@ def test_pages(spark):
 def test_json_body(spark):
     assert one(spark, '```json\n[{"a": 1}]\n```', text.json_body) == '[{"a": 1}]'
     assert one(spark, "no json", text.json_body) is None
+
+
+def test_roman_and_steps(spark):
+    assert one(spark, " xiv ", text.roman_value) == 14
+    assert one(spark, "IIII", text.roman_value) is None
+    from curralign.plans.maintain import run_steps
+
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError
+
+    assert run_steps([("a", flaky), ("b", lambda: 1 / 0), ("c", print)], {"c"}) == [("a", "done"), ("b", "failed"), ("c", "skipped")]
+
+
+def test_vector_blobs(spark):
+    import struct
+
+    from curralign.sources.hierarchy import decoded_vectors
+
+    df = spark.createDataFrame([(bytearray(struct.pack("<2f", 1.5, -2.0)),), (bytearray(b"xyz"),), (None,)], "b binary")
+    assert [r["vec"] for r in decoded_vectors(df, "b", 2).collect()] == [[1.5, -2.0], None, None]
