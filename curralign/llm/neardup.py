@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
 
-#: Rows of a band and number of bands. A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8**7)**44 = 0.99997.
-ROWS, BANDS = 7, 44
+#: Rows of a band and number of bands. A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**34 = 0.99997.
+ROWS, BANDS = 6, 34
 
+#: Bits of a word of the summary that is compared before the sets are.
+BITS = 64
 #: Elements whose darts a worker keeps.
 KEPT = 16_384
 
@@ -154,9 +156,11 @@ class DartMinHash:
             layers += 1
 
 
-def _bands(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator[pa.RecordBatch]:
-    sketch = DartMinHash(rows * bands)
+def _sign(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, elements[, weights]) to (rid, low, high, bands): ``low`` and ``high`` hold one bit each of the first 128 coordinates."""
+    sketch = DartMinHash(max(rows * bands, 2 * BITS))
     salt = np.arange(1, bands + 1, dtype=np.uint64) * _GOLD
+    place = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
     for batch in batches:
         col = batch.column("elements")
         ends, flat = np.asarray(col.offsets), np.asarray(col.values).view(np.uint64)
@@ -166,17 +170,16 @@ def _bands(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator
             signed = sketch.signatures(sets)
         else:
             signed = [sketch.signature(x, weights[ends[i] : ends[i + 1]]) for i, x in enumerate(sets)]
-        reps, ids, keys = batch.column("rep"), [], []
-        for i, sig in enumerate(signed):
-            if sig is None:
-                continue
-            mixed = salt.copy()
-            for r in range(rows):
-                mixed = _mix(mixed ^ sig[r * bands : (r + 1) * bands])
-            ids.append(reps[i].as_py())
-            keys.append(mixed.view(np.int64))
-        lists = pa.array(keys, pa.list_(pa.int64())) if keys else pa.array([], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("rep").type), lists], names=["rep", "bands"])
+        good = [i for i, x in enumerate(signed) if x is not None]
+        sig = np.array([signed[i] for i in good], dtype=np.uint64).reshape(-1, sketch.k)
+        bit = (sig[:, : 2 * BITS] >> np.uint64(40)) & np.uint64(1)
+        low, high = (bit[:, :BITS] * place).sum(axis=1, dtype=np.uint64), (bit[:, BITS:] * place).sum(axis=1, dtype=np.uint64)
+        mixed = np.tile(salt, (len(good), 1))
+        for r in range(rows):
+            mixed = _mix(mixed ^ sig[:, r * bands : (r + 1) * bands])
+        lists = pa.ListArray.from_arrays(np.arange(0, mixed.size + 1, bands, dtype=np.int32), pa.array(mixed.view(np.int64).ravel()))
+        rid = batch.column("rid").take(pa.array(good, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rid, pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), lists], names=["rid", "low", "high", "bands"])
 
 
 def word_sets(texts: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -197,28 +200,42 @@ def similar_classes(texts: DataFrame, id_col: str, text_col: str, threshold: flo
     """(members, links). members: ``id, rep``, the smallest id with the same word set; links: ``a, b, similarity`` with
     ``a < b`` over representatives whose Jaccard similarity is at least ``threshold``.
 
-    Equal word sets are one class before anything is compared, so copies cost nothing; candidates share a band and have
-    sizes that allow the similarity; each is verified on the whole word sets. Copies of a row count once. Null texts and
+    Equal word sets are one class before anything is compared, so copies cost nothing; candidates share a band, have
+    sizes that allow the similarity and agree in enough bits of a 128-bit summary; each is verified on the whole word sets. Copies of a row count once. Null texts and
     ids, and texts under ``min_words`` words, belong to no class.
     """
     sets = word_sets(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id", "t", max(1, min_words))
     keyed = sets.select("id", "words", F.md5(F.concat_ws(",", F.col("words").cast("array<string>"))).alias("k"))
-    classes = cut(keyed.groupBy("k").agg(F.min("id").alias("rep"), F.any_value("words").alias("words"), F.collect_set("id").alias("ids")))
+    classes = keyed.groupBy("k").agg(F.min("id").alias("rep"), F.any_value("words").alias("words"), F.collect_set("id").alias("ids"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("rid"), "rep", "words", "ids"))  # the numbers stand once written
     members = classes.select(F.explode("ids").alias("id"), "rep")
-    reps = classes.select("rep", "words")
-    kind = dict(reps.dtypes)["rep"]
-    signed = reps.select("rep", F.col("words").alias("elements")).mapInArrow(lambda it: _bands(it, rows, bands), f"rep {kind}, bands array<bigint>")
-    entries = signed.select("rep", F.explode("bands").alias("band")).join(reps.select("rep", F.size("words").alias("n")), "rep")
-    entries = cut(entries)
-    left = entries.select(F.col("rep").alias("a"), F.col("n").alias("na"), "band")
-    right = entries.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "band")
+    elements = classes.select("rid", F.col("words").alias("elements"))
+    signed = elements.mapInArrow(lambda it: _sign(it, rows, bands), "rid bigint, low bigint, high bigint, bands array<bigint>")
+    signed = cut(signed.join(classes.select("rid", F.size("words").alias("n")), "rid"))
+    left = signed.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode("bands").alias("band"))
+    right = signed.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.explode("bands").alias("band"))
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    candidates = left.join(right, "band").where(fits).select("a", "b").distinct()
-    wa, wb = reps.select(F.col("rep").alias("a"), F.col("words").alias("wa")), reps.select(F.col("rep").alias("b"), F.col("words").alias("wb"))
+    apart = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) + F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
+    candidates = left.join(right, "band").where(fits & (apart <= allowed_bits(threshold))).select("a", "b").distinct()
+    wa, wb = (classes.select(F.col("rid").alias(x), F.col("rep").alias(f"r{x}"), F.col("words").alias(f"w{x}")) for x in "ab")
     shared = F.size(F.array_intersect("wa", "wb"))
     either = F.size("wa") + F.size("wb") - shared
-    links = candidates.join(wa, "a").join(wb, "b").select("a", "b", (shared / either).alias("similarity")).where(F.col("similarity") >= threshold)
-    return members, links
+    checked = candidates.join(wa, "a").join(wb, "b").select("ra", "rb", (shared / either).alias("similarity")).where(F.col("similarity") >= threshold)
+    return members, checked.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")
+
+
+def allowed_bits(threshold: float) -> int:
+    """How many of the 128 bits of two sets at the threshold may differ: all but one in ten million such pairs stay within it.
+
+    A bit differs with half the probability that its coordinates do.
+    """
+    p = (1 - threshold) / 2
+    n, tail, total = 2 * BITS, 1e-7, 0.0
+    for k in range(n, -1, -1):
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if total > tail:
+            return k
+    return 0
 
 
 def similar_pairs(texts: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 25) -> DataFrame:
