@@ -123,7 +123,7 @@ def _tile(table: pa.Table, k: int, dim: int) -> pa.Table:
     return pa.table({"id": pa.array(ids[iq], pa.string()), "nb": pa.array(ids[im], pa.string()), "cosine": pa.array(c, pa.float64())})
 
 
-def nearest(vectors: DataFrame, k: int, dim: int, probes: int = 6, cells: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, dim: int, probes: int = 12, cells: int | None = None) -> DataFrame:
     """``id, nb, cosine, rank_no``: the ``k`` most similar other ids of every id; equal cosines by smaller id.
 
     ``vectors`` has ``id`` (string, unique, not null) and ``vec`` (``dim`` finite elements, not all zero); other columns
