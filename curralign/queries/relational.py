@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grades import GRADE_ORDER, alignment, grade_export_rank, grade_rank
@@ -11,7 +11,10 @@ from ..operators import orphans, ranking, upsert
 from ..plans.tools import filtered, scoped
 from .registry import ALL, HUB, HUBS, OK_SCORE, C, E, S, Tables, U, query, rank_sql, with_
 
-N = F.count("*").alias("n")
+
+
+def _n() -> Column:
+    return F.count("*").alias("n")
 
 
 @query()
@@ -224,7 +227,7 @@ def jn_inner_target(spark, root) -> DataFrame:
 @query(with_(C, S) + "SELECT s.system, s.subject, count(*) AS n FROM c JOIN (SELECT DISTINCT id, system, subject FROM s) s ON s.id = c.source_id GROUP BY ALL")
 def jn_inner_source(spark, root) -> DataFrame:
     t = Tables(spark, root)
-    return t.mappings("source_id").join(t.standards("id", "system", "subject").withColumnRenamed("id", "source_id"), "source_id").groupBy("system", "subject").agg(N)
+    return t.mappings("source_id").join(t.standards("id", "system", "subject").withColumnRenamed("id", "source_id"), "source_id").groupBy("system", "subject").agg(_n())
 
 
 @query(with_(C, "x AS (SELECT DISTINCT id, standard_text FROM standards)") + "SELECT c.id, a.standard_text AS source_text, b.standard_text AS target_text FROM c JOIN x a ON a.id = c.source_id JOIN x b ON b.id = c.target_id")
@@ -256,7 +259,7 @@ def jn_left_pending(spark, root) -> DataFrame:
 def jn_left_count(spark, root) -> DataFrame:
     t = Tables(spark, root)
     mapped = t.raw("crosswalk_mappings").select(F.col("source_id").alias("id")).distinct().withColumn("m", F.lit(1))
-    return t.standards("id", "system").join(mapped, "id", "left").groupBy("system").agg(N, F.count("m").alias("mapped"))
+    return t.standards("id", "system").join(mapped, "id", "left").groupBy("system").agg(_n(), F.count("m").alias("mapped"))
 
 
 @query(with_(S) + "SELECT DISTINCT system, CASE WHEN system LIKE 'valm%' THEN 'Valmere' WHEN system LIKE '%-moe' THEN 'ministry' ELSE NULL END AS country FROM s")
@@ -270,7 +273,7 @@ def jn_left_meta(spark, root) -> DataFrame:
 def jn_country(spark, root) -> DataFrame:
     country = spark.sql("select * from values ('valm-core','Valmere'),('dorn-state','Dornwick'),('heim-plan','Heimbruck') as m(system, country)")
     region = spark.sql("select * from values ('Valmere','West'),('Heimbruck','East') as r(country, region)")
-    return Tables(spark, root).standards("id", "system").join(F.broadcast(country), "system").join(F.broadcast(region), "country").groupBy("country", "region").agg(N)
+    return Tables(spark, root).standards("id", "system").join(F.broadcast(country), "system").join(F.broadcast(region), "country").groupBy("country", "region").agg(_n())
 
 
 @query(with_(U) + "SELECT id, parent_id FROM u WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM standards WHERE id IS NOT NULL)")
@@ -308,7 +311,7 @@ def jn_loj_isnull(spark, root) -> DataFrame:
 def jn_loose_id(spark, root) -> DataFrame:
     from ..functions.text import loose_id
 
-    return Tables(spark, root).standards("id").select("id", loose_id(F.col("id")).alias("loose")).groupBy("loose").agg(F.min("id").alias("id"), N)
+    return Tables(spark, root).standards("id").select("id", loose_id(F.col("id")).alias("loose")).groupBy("loose").agg(F.min("id").alias("id"), _n())
 
 
 @query(with_(U, "d AS (SELECT DISTINCT id, domain, cluster FROM standards)") + "SELECT u.id, u.parent_id, d.domain, d.cluster FROM u JOIN d ON d.id = u.parent_id")
@@ -358,7 +361,7 @@ def agg_count_distinct(spark, root) -> DataFrame:
 
 @query(with_(S) + "SELECT system, subject, grade, count(*) AS n FROM s GROUP BY ALL")
 def agg_group_count(spark, root) -> DataFrame:
-    return Tables(spark, root).standards().groupBy("system", "subject", "grade").agg(N)
+    return Tables(spark, root).standards().groupBy("system", "subject", "grade").agg(_n())
 
 
 @query("SELECT system, string_agg(DISTINCT subject, ',' ORDER BY subject) AS subjects FROM standards GROUP BY system")
@@ -368,14 +371,14 @@ def agg_group_concat(spark, root) -> DataFrame:
 
 @query(with_(S) + "SELECT system, domain, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 10")
 def agg_having(spark, root) -> DataFrame:
-    return Tables(spark, root).standards().groupBy("system", "domain").agg(N).where("n > 10")
+    return Tables(spark, root).standards().groupBy("system", "domain").agg(_n()).where("n > 10")
 
 
 @query(with_(C) + "SELECT source_system, count(*) AS n, count(CASE WHEN flagged_for_review = 1 THEN 1 END) AS flagged, count(DISTINCT CASE WHEN confidence_score >= 0.9 AND NOT isnan(confidence_score) THEN source_id END) AS strong FROM c GROUP BY ALL")
 def agg_conditional(spark, root) -> DataFrame:
     strong = (F.col("confidence_score") >= 0.9) & ~F.isnan("confidence_score")
     c = Tables(spark, root).mappings("source_system", "source_id", "flagged_for_review", "confidence_score")
-    return c.groupBy("source_system").agg(N, F.count_if(F.col("flagged_for_review") == 1).alias("flagged"), F.countDistinct(F.when(strong, F.col("source_id"))).alias("strong"))
+    return c.groupBy("source_system").agg(_n(), F.count_if(F.col("flagged_for_review") == 1).alias("flagged"), F.countDistinct(F.when(strong, F.col("source_id"))).alias("strong"))
 
 
 @query(with_(C) + f"SELECT target_system, round(avg(confidence_score), 6) AS mean FROM c WHERE {OK_SCORE} GROUP BY ALL")
@@ -410,19 +413,19 @@ def agg_cum_threshold(spark, root) -> DataFrame:
 @query(with_(C) + f"SELECT (floor(confidence_score * 20) / 20)::DOUBLE AS bucket, count(*) AS n FROM c WHERE {OK_SCORE} GROUP BY ALL")
 def agg_histogram(spark, root) -> DataFrame:
     c = Tables(spark, root).mappings("confidence_score").where("confidence_score is not null and not isnan(confidence_score)")
-    return c.groupBy((F.floor(F.col("confidence_score") * 20) / 20).alias("bucket")).agg(N)
+    return c.groupBy((F.floor(F.col("confidence_score") * 20) / 20).alias("bucket")).agg(_n())
 
 
 @query(with_(S) + "SELECT system, depth FROM (SELECT system, depth, row_number() OVER (PARTITION BY system ORDER BY n DESC, depth) AS r FROM (SELECT system, len(string_split(id, '.'))::INTEGER AS depth, count(*) AS n FROM (SELECT DISTINCT id, system FROM s) GROUP BY ALL)) WHERE r = 1")
 def agg_mode_depth(spark, root) -> DataFrame:
-    s = Tables(spark, root).standards("id", "system").groupBy("system", F.size(F.split("id", r"\.")).alias("depth")).agg(N)
+    s = Tables(spark, root).standards("id", "system").groupBy("system", F.size(F.split("id", r"\.")).alias("depth")).agg(_n())
     return ranking.top_per_group(s, ["system"], [F.col("n").desc(), F.col("depth")], 1).select("system", "depth")
 
 
 @query(with_(C, S) + "SELECT subject, count(DISTINCT source_system)::BIGINT AS systems, sum(n)::BIGINT AS mappings, string_agg(source_system || '=' || n::VARCHAR, ',' ORDER BY source_system) AS by_system FROM (SELECT x.subject, source_system, count(*) AS n FROM c JOIN (SELECT DISTINCT id, subject FROM s) x ON x.id = c.target_id GROUP BY ALL) GROUP BY subject")
 def agg_hub_nested(spark, root) -> DataFrame:
     t = Tables(spark, root)
-    one = t.mappings("target_id", "source_system").join(t.standards("id", "subject").withColumnRenamed("id", "target_id"), "target_id").groupBy("subject", "source_system").agg(N)
+    one = t.mappings("target_id", "source_system").join(t.standards("id", "subject").withColumnRenamed("id", "target_id"), "target_id").groupBy("subject", "source_system").agg(_n())
     pair = F.concat(F.col("source_system"), F.lit("="), F.col("n").cast("string"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("source_system", pair.alias("p")))), lambda x: x["p"])
     return one.groupBy("subject").agg(F.countDistinct("source_system").alias("systems"), F.sum("n").alias("mappings"), F.array_join(parts, ",").alias("by_system"))
@@ -459,7 +462,7 @@ def agg_min_grade(spark, root) -> DataFrame:
 )
 def agg_dominant_doc(spark, root) -> DataFrame:
     d = Tables(spark, root).standards("system", "subject", "grade", "domain").where("domain <> ''")
-    return ranking.top_per_group(d.groupBy("system", "domain").agg(N), ["system"], [F.col("n").desc(), F.col("domain")], 1)
+    return ranking.top_per_group(d.groupBy("system", "domain").agg(_n()), ["system"], [F.col("n").desc(), F.col("domain")], 1)
 
 
 @query(with_(S) + "SELECT system, min_by(grade, x) AS lowest, max_by(grade, x) AS highest FROM (SELECT DISTINCT system, grade, CASE WHEN grade = 'K' THEN 0 WHEN grade = 'HS' THEN 13 ELSE try_cast(grade AS INTEGER) END AS x FROM s) WHERE x IS NOT NULL GROUP BY system")

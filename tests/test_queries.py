@@ -56,3 +56,12 @@ def test_filters_and_columns_reach_the_scan(spark):
 
     plan = queries.queries()["src_table"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(system,valm-core)" in plan and "source_url" not in plan
+
+
+def test_names_can_be_read_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 250 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
