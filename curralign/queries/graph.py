@@ -15,9 +15,13 @@ _REACH = "w(root, node, d) AS (SELECT root, root, 0 FROM t UNION SELECT w.root,
 
 
 def _targets(t: Tables) -> DataFrame:
-    """Forty standards with prerequisites, the smallest ids: a report's selection, not a cap of the operator."""
-    p = graph.prerequisites(t.edges())
-    return p.join(t.raw("standards").select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("root")).distinct().orderBy("root").limit(40)
+    """The forty smallest ids with prerequisites: the sample that the recursive SQL can be compared on. The ``_all`` queries have every root."""
+    return _roots(t, graph.prerequisites(t.edges())).orderBy("root").limit(40)
+
+
+def _roots(t: Tables, edges: DataFrame) -> DataFrame:
+    """``root``: every standard with an outgoing edge."""
+    return edges.join(t.raw("standards").select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("root")).distinct()
 
 
 @query(
@@ -67,6 +71,21 @@ def gr_path(spark, root) -> DataFrame:
     return p.select("root", F.col("step").cast("long").alias("step"), "id", "grade", "depth")
 
 
+@query()
+def gr_closure_all(spark, root) -> DataFrame:
+    t = Tables(spark, root)
+    p = graph.prerequisites(t.edges())
+    return graph.reachable(p, _roots(t, p))
+
+
+@query()
+def gr_path_all(spark, root) -> DataFrame:
+    t = Tables(spark, root)
+    edges = graph.prerequisites(t.edges())
+    p = graph.learning_path(edges, t.standards("id", "grade"), _roots(t, edges))
+    return p.select("root", F.col("step").cast("long").alias("step"), "id", "grade", "depth")
+
+
 @query("WITH RECURSIVE " + ", ".join((E, _P, "w(node, ancestor) AS (SELECT src, dst FROM p WHERE src <> dst UNION SELECT w.node, p.dst FROM w JOIN p ON p.src = w.ancestor WHERE p.src <> p.dst)")) + " SELECT DISTINCT node, ancestor FROM w WHERE node <> ancestor")
 def gr_transitive(spark, root) -> DataFrame:
     return graph.all_pairs_closure(graph.prerequisites(Tables(spark, root).edges()))

@@ -13,7 +13,7 @@ from ..operators.lineage import ensure_checkpoint_dir
 from ..plans import maintain, tools
 from ..sources import hierarchy, sinks
 from ..streaming import incremental
-from .graph import _P, _REACH, _T, _targets
+from .graph import _P, _REACH, _T, _roots, _targets
 from .registry import HUB, C, E, S, Tables, U, V, also, query, with_
 from .similarity import _R, _SP, _SQ, _cos, standard_probe
 
@@ -333,14 +333,21 @@ def gr_forward(spark, root) -> DataFrame:
     return graph.reachable(ahead, starts, 6)
 
 
+@query()
+def gr_forward_all(spark, root) -> DataFrame:
+    t = Tables(spark, root)
+    ahead = graph.prerequisites(t.edges()).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.reachable(ahead, _roots(t, ahead))
+
+
 @query()
 def gr_prune(spark, root) -> DataFrame:
     t = Tables(spark, root)
-    targets = _targets(t)
     p = graph.prerequisites(t.edges())
-    far = graph.reachable(p, targets, 6)
+    targets = _roots(t, p)
+    far = graph.reachable(p, targets)
     start = far.where("depth > 0").groupBy("root").agg(F.max_by("node", F.struct("depth", "node")).alias("start"))
-    out = graph.learning_path(p, t.standards("id", "grade"), targets, start, 6)
+    out = graph.learning_path(p, t.standards("id", "grade"), targets, start)
     return out.select("root", "step", "id", F.array_join("prerequisites", ",").alias("prerequisites"))
 
 
@@ -385,3 +392,9 @@ def mt_direct_pilot(spark, root) -> DataFrame:
 def dq_empty(spark, root) -> DataFrame:
     return Tables(spark, root).standards().where("standard_text is null or trim(standard_text) = ''").select("id")
 
+
+@query()
+def gr_path_notes_all(spark, root) -> DataFrame:
+    t = Tables(spark, root)
+    p = graph.prerequisites(t.edges())
+    return tools.path_notes(graph.learning_path(p, t.standards("id", "grade"), _roots(t, p)))

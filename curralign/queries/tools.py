@@ -122,10 +122,11 @@ def tool_lookup(spark, root) -> DataFrame:
 
 @query()
 def tool_path(spark, root) -> DataFrame:
-    from .graph import _targets
+    from ..operators.graph import prerequisites
+    from .graph import _roots
 
     t = Tables(spark, root)
-    p = tools.path(t.standards("id", "grade"), t.edges(), _targets(t), max_depth=6, include_soft=True)
+    p = tools.path(t.standards("id", "grade"), t.edges(), _roots(t, prerequisites(t.edges(), include_soft=True)), include_soft=True)
     return p.select("root", "step", "id", "grade", F.array_join("prerequisites", ",").alias("prerequisites"))
 
 
