@@ -1,9 +1,9 @@
 """Noise in text from scanned pages: joint word segmentation over de-lined character streams.
 
 Running headers and page numbers are lines of their own; they are recognised by their form and by how often their wording
-heads other records, and left out. Of the rest, every suspicious place (a hyphen before a blank or a line break, or a word that
-the corpus does not know well) is decoded: its characters form one stream without line breaks, and the cheapest sequence of
-words is found by dynamic programming, where a word costs its rarity in the corpus and each split, merge, misread character or
+heads other records, and left out. Of the rest, every suspicious place is decoded, first the cuts at hyphens, then the
+stretches around words that the corpus does not know well: their characters form one stream without blanks and line breaks, and the
+cheapest sequence of words is found by dynamic programming, where a word costs its rarity in the corpus and each split, merge, misread character or
 dropped hyphen has a price. Paragraph boundaries are chosen by a second dynamic programme over the lines.
 """
 
@@ -38,6 +38,7 @@ MISREAD, DEHYPHEN, MERGE, SPLIT, UNKNOWN, LETTER = 3.0, 1.0, 6.0, 9.0, 14.0, 1.0
 _WORD = re.compile(r"[\w†]+")
 _COMPOUND = re.compile(r"\w+(?:-\w+)+")
 _CUT = re.compile(rf"([\w†]+)([{HYPHENS}])([ \t]*(?:\r\n|\r|\n)[ \t]*|[ \t]+)(?=([\w†]+))")
+_JOINT = re.compile(r"[ \t]*(?:\r\n|\r|\n)[ \t]*|[ \t]+")
 _ODD_CUT = re.compile(r"[‐¬­][ \t]*[\r\n]")
 _BREAK = re.compile(r"\r\n|\r|\n")
 _ROMAN = re.compile(r"(?=[ivxlc]{2})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})", re.I)
@@ -46,6 +47,8 @@ _PAGE = re.compile(
 )
 _PART = re.compile(r"\s{2,}|[|·–—]|\d+|\bp\.(?=\s|$)|\bpage\b|\bedition\b", re.I)
 _END = ".!?:;,)…"
+#: Signs that make a word part of a longer one.
+_BESIDE = tuple("-'’|/@#_")
 
 
 def header_parts(line: str) -> list[str]:
@@ -72,12 +75,18 @@ def is_page_number(line: str) -> bool:
 
 
 class Decoder:
-    """Repairs texts with the words and headers of a corpus: ``{word or compound: count}``, ``{wording: count}`` and the number of lines."""
+    """Repairs texts with the words and headers of a corpus: ``{word or compound: count}``, ``{wording: count}``, the number of lines,
+    and how often a word is but a part beside a hyphen: ``{word: count}``."""
 
-    def __init__(self, words: dict[str, int], headers: dict[str, int], lines: int = 0) -> None:
+    def __init__(self, words: dict[str, int], headers: dict[str, int], lines: int = 0, parts: dict[str, int] | None = None) -> None:
         self.words = words
+        self.parts = parts or {}
         self.headers = {h for h, n in headers.items() if n >= max(2, HEADS * lines)}
         self.log_total = math.log(max(2, sum(words.values())))
+        known = {w for w in words if self.free(w) >= KNOWN}
+        #: Pairs of words that are rarer than what they make together, and the words that need no look: known and first in no such pair.
+        self.pairs = {(w[:i], w[i:]) for w, n in words.items() if n >= KNOWN for i in range(1, len(w)) if w[:i] in known and w[i:] in known and n >= RARER * min(self.free(w[:i]), self.free(w[i:]))}
+        self.plain = known - {a for a, _ in self.pairs}
         self.fine: set[str] = set()
         self.fixes: dict[str, tuple[str, int] | None] = {}
 
@@ -108,10 +117,14 @@ class Decoder:
         self.fixes[word] = got
         return got
 
+    def free(self, word: str) -> int:
+        """How often ``word`` (lower case) stands in the corpus without a hyphen beside it."""
+        return self.words.get(word, 0) - self.parts.get(word, 0)
+
     def _cost(self, s: str) -> tuple[float, str, int]:
         """Price, printed form and number of misread characters of one word."""
         low = s.lower()
-        n = self.words.get(low, 0)
+        n = max(0, self.free(low))
         fixed = self.fix(low)
         if fixed:
             printed, k = fixed
@@ -122,19 +135,23 @@ class Decoder:
             return 6.0, s, 0
         return self.log_total + UNKNOWN + LETTER * len(s), s, 0
 
-    def decode(self, pieces: list[str], joints: list[str]) -> tuple[str, set[str]]:
+    def decode(self, pieces: list[str], joints: list[str], whole: frozenset[int] = frozenset()) -> tuple[str, set[str]]:
         """The cheapest reading of ``pieces`` with the ``joints`` between them (a hyphen first where there is one), and the noise found.
 
-        Words may run over joints (a merge, cheap where there is a hyphen), and end within a piece (a split).
+        Words may run over joints (a merge, cheap where there is a hyphen), and end within a piece (a split), but not within the
+        pieces numbered in ``whole``. Words beside a split or over a joint without hyphen are much more frequent than the pieces.
         """
         stream = "".join(pieces)
-        ends, at = {}, 0
+        ends, at, shut, seen = {}, 0, set(), [0] * len(stream)
         for i, p in enumerate(pieces):
+            seen[at : at + len(p)] = [self.free(p.lower())] * len(p)
+            if i in whole:
+                shut.update(range(at + 1, at + len(p)))
             at += len(p)
             ends[at] = joints[i] if i < len(joints) else ""
         n = len(stream)
         inf = math.inf
-        best: list[tuple[float, int, str, int, int]] = [(0.0, -1, "", 0, 0)] + [(inf, -1, "", 0, 0)] * n
+        best: list[tuple[float, int, str, int, set[str]]] = [(0.0, -1, "", 0, set())] + [(inf, -1, "", 0, set())] * n
         for p in range(n):
             base = best[p][0]
             if base == inf:
@@ -142,15 +159,17 @@ class Decoder:
             for q in range(p + 1, min(n, p + 40) + 1):
                 on_edge = q in ends and (p == 0 or p in ends)
                 piece = stream[p:q]
-                if not on_edge and (len(piece) < 2 or self.words.get(piece.lower(), 0) < KNOWN):
+                if not on_edge and (q in shut or len(piece) < 2 or self.free(piece.lower()) < max(KNOWN, RARER * min(seen[p:q]))):
                     continue
                 cost, printed, misread = self._cost(piece)
                 inner = [e for e in ends if p < e < q]
-                merged = 0
+                merged = set()
                 for e in inner:
                     hyphen = ends[e][:1] in HYPHENS and ends[e][:1] != ""
                     cost += DEHYPHEN if hyphen else MERGE
-                    merged += 1 if hyphen else 0
+                    merged.add("hyphen" if hyphen else "merge")
+                if "merge" in merged and self.words.get(printed.lower(), 0) < max(KNOWN, RARER * min(seen[p:q])):
+                    continue
                 if inner and self.words.get(printed.lower(), 0) < 2 and not any(ends[e][:1] in "‐¬­" and ends[e][:1] for e in inner):
                     continue
                 if q < n and q not in ends:
@@ -162,10 +181,11 @@ class Decoder:
             _, p, printed, misread, merged = best[q]
             if misread:
                 kinds.add("character")
-            if merged:
-                kinds.add("hyphen")
+            kinds |= merged
+            if q < n and q not in ends:
+                kinds.add("split")
             joint = ends.get(q, " ") if q < n else ""
-            out.append(printed + ("" if q == n else (joint[0] + ("" if not joint[1:2] or joint[1:2] in "\r\n" or "\n" in joint or "\r" in joint else " ") if joint[:1] in HYPHENS and joint else " ")))
+            out.append(printed + ("" if q == n else (joint[0] + ("" if not joint[1:2] or joint[1:2] in "\r\n" or "\n" in joint or "\r" in joint else " ") if joint[:1] in HYPHENS and joint else joint or " ")))
             q = p
         return "".join(reversed(out)), kinds
 
@@ -199,15 +219,77 @@ class Decoder:
         return bad
 
     def noise(self, text: str) -> set[str]:
-        """The kinds of noise in ``text``: ``hyphen``, ``character``, ``header``, ``page number``."""
+        """The kinds of noise in ``text``: ``hyphen``, ``merge`` (a cut word whose hyphen was lost), ``character``, ``header``,
+        ``page number``, ``split`` (words run together)."""
         kept, kinds = self.lines(text)
-        body = text if not kinds else "\n".join(kept)
+        return kinds | self._read(text if not kinds else "\n".join(kept))[1]
+
+    def _read(self, body: str) -> tuple[str, set[str]]:
+        """``body`` with its words as they were printed, and the noise: first the words cut by hyphens, then the stretches around
+        words that the corpus does not know."""
+        kinds: set[str] = set()
         if any(h in body for h in HYPHENS):
+            out, at = [], 0
             for m in _CUT.finditer(body):
-                kinds |= self._at_cut(m)[1]
-        if self.suspicious(_WORD.findall(body.lower())):
+                if m.start() < at:
+                    continue
+                read, found = self._at_cut(m)
+                kinds |= found
+                if read is not None:
+                    out += [body[at : m.start()], read]
+                    at = m.end() + len(m.group(4))
+            body = "".join(out) + body[at:]
+        low = _WORD.findall(body.lower())
+        bad = self.suspicious(low)
+        odd = {w for w in set(low) - self.plain if not w.isdigit()}
+        if odd and not bad and "-" in body:  # parts of compounds are words there
+            odd &= {w for w in odd if self.words.get(w, 0) < KNOWN}.union(_WORD.findall(_COMPOUND.sub(" ", body.lower())))
+        if not odd and not bad:
+            return body, kinds
+        words = list(_WORD.finditer(body))
+        low = [m.group().lower() for m in words]
+        out, at = [], 0
+        for a, b in self._stretches(body, words, low, bad):
+            pieces = [m.group() for m in words[a:b]]
+            joints = [body[x.end() : y.start()] for x, y in zip(words[a : b - 1], words[a + 1 : b], strict=True)]
+            whole = frozenset(i for i in range(b - a) if self._stands(body, words[a + i]))
+            read, found = self.decode(pieces, joints, whole)
+            kinds |= found
+            out += [body[at : words[a].start()], read]
+            at = words[b - 1].end()
+        if bad:
             kinds.add("character")
-        return kinds
+        return "".join(out) + body[at:], kinds
+
+    def _stretches(self, body: str, words: list[re.Match], low: list[str], bad: set[str]) -> list[tuple[int, int]]:
+        """Runs of words to decode as one stream: each misread or unknown word, and each pair that is rarer than what it makes
+        together, with the neighbours that only blanks or a line break part from it."""
+        out: list[tuple[int, int]] = []
+        for i, w in enumerate(low):
+            if w not in bad and (w in self.plain or w.isdigit() or self.free(w) >= KNOWN and (w, low[i + 1] if i + 1 < len(low) else "") not in self.pairs):
+                continue
+            if w not in bad and self.words.get(w, 0) >= KNOWN and self.free(w) < KNOWN and _beside(body, words[i]):
+                continue
+            a = i - 1 if i and self._joined(body, words, i - 1) else i
+            b = i + 2 if i + 1 < len(words) and self._joined(body, words, i) else i + 1
+            if out and a < out[-1][1]:
+                a, b = out[-1][0], max(b, out[-1][1])
+                out.pop()
+            out.append((a, b))
+        return out
+
+    def _joined(self, body: str, words: list[re.Match], i: int) -> bool:
+        """Whether a word may run on from word ``i`` to the next: not into a last word where the text was cut off."""
+        gap = body[words[i].end() : words[i + 1].start()]
+        if not _JOINT.fullmatch(gap):
+            return False
+        return "\n" in gap or "\r" in gap or not _cut_off(body, words[i + 1])
+
+    def _stands(self, body: str, m: re.Match) -> bool:
+        """A word that is not run together: a known one, a name inside a sentence, a part of a compound or of a token with signs, or cut off at the end of the text."""
+        before = body[: m.start()].rstrip()[-1:]
+        name = m.group()[:1].isupper() and before not in tuple(".!?:•") and before != ""
+        return self.words.get(m.group().lower(), 0) >= KNOWN or name or _beside(body, m) or _cut_off(body, m)
 
     def _at_cut(self, m: re.Match) -> tuple[str | None, set[str]]:
         """The reading of the two halves at a hyphen, None where they stay apart, and the noise."""
@@ -230,24 +312,21 @@ class Decoder:
     def repair(self, text: str) -> tuple[str, set[str]]:
         """Continuous readable paragraphs, and the kinds of noise that were repaired."""
         kept, kinds = self.lines(text)
-        body = "\n".join(kept)
-        out, at = [], 0
-        for m in _CUT.finditer(body):
-            if m.start() < at:
-                continue
-            read, found = self._at_cut(m)
-            if read is not None:
-                out += [body[at : m.start()], read]
-                at = m.end() + len(m.group(4))
-                kinds |= found
-        body = "".join(out) + body[at:]
-        bad = self.suspicious(_WORD.findall(body.lower()))
-        if bad:
-            kinds.add("character")
-            body = _WORD.sub(lambda m: self.decode([m.group()], [])[0] if m.group().lower() in bad else m.group(), body)
+        body, found = self._read("\n".join(kept))
+        kinds |= found
         return paragraphs(body.split("\n")), kinds
 
 
+def _beside(body: str, m: re.Match) -> bool:
+    return body[max(0, m.start() - 1) : m.start()] in _BESIDE or body[m.end() : m.end() + 1] in _BESIDE
+
+
+def _cut_off(body: str, m: re.Match) -> bool:
+    """Whether the text ends with this word, or was cut off after it."""
+    rest = body[m.end() :] if len(body) - m.end() < 12 else "more"
+    return rest.strip() in ("", "…", "...")
+
+
 def paragraphs(lines: list[str]) -> str:
     """Lines joined to paragraphs: the boundaries with the least total price.
 
@@ -294,11 +373,13 @@ def _like(read: str, printed: str) -> str:
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
     heads: Counter[str] = Counter()
+    halves: Counter[str] = Counter()
     lines = [0]
 
     def flush() -> pa.RecordBatch:
-        rows = [("w", w, n) for w, n in counts.items()] + [("h", h, n) for h, n in heads.items()]
+        rows = [("w", w, n) for w, n in counts.items()] + [("h", h, n) for h, n in heads.items()] + [("p", w, n) for w, n in halves.items()]
         counts.clear()
+        halves.clear()
         heads.clear()
         if rows and lines[0]:
             rows.append(("l", "", lines[0]))
@@ -311,8 +392,13 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             low = text.lower()
             counts.update(_WORD.findall(low))
-            if "-" in low:
-                counts.update(_COMPOUND.findall(low))
+            if any(h in low for h in HYPHENS):
+                compounds = _COMPOUND.findall(low)
+                counts.update(compounds)
+                for c in compounds:
+                    halves.update(c.split("-"))
+                for m in _CUT.finditer(low):
+                    halves.update((m.group(1), m.group(4)))
             if "\n" in text or "\r" in text:
                 parts = _BREAK.split(text)
                 lines[0] += len(parts)
@@ -330,19 +416,20 @@ def learn(texts: DataFrame, text_col: str) -> Decoder:
     rows = evidence.where((F.col("n") >= max(2, int(total * LEAST_SHARE))) | (F.col("kind") == "l")).collect()
     evidence.unpersist()
     lines = sum(r["n"] for r in rows if r["kind"] == "l")
-    return Decoder({r["key"]: r["n"] for r in rows if r["kind"] == "w"}, {r["key"]: r["n"] for r in rows if r["kind"] == "h"}, lines)
+    words, heads, parts = ({r["key"]: r["n"] for r in rows if r["kind"] == k} for k in "whp")
+    return Decoder(words, heads, lines, parts)
 
 
 def _find(batches: Iterator[pa.RecordBatch], decoder: Decoder) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds = [sorted(decoder.noise(t)) if t else [] for t in batch.column("text").to_pylist()]
+        kinds = [sorted(decoder.noise(t) - {"split"}) if t else [] for t in batch.column("text").to_pylist()]
         keep = pa.array([bool(k) for k in kinds])
         kept = batch.filter(keep)
         yield pa.RecordBatch.from_arrays([kept.column("tbl"), kept.column("id"), pa.array([k for k in kinds if k], pa.list_(pa.string()))], names=["tbl", "id", "kinds"])
 
 
 def find_noise(texts: DataFrame, decoder: Decoder | None = None) -> DataFrame:
-    """``tbl, id, kinds``: the records of ``texts`` (``tbl, id, text``) with noise. Null, empty and blank texts have none; copies of a row count once."""
+    """``tbl, id, kinds``: the records of ``texts`` (``tbl, id, text``) with noise other than words run together, which are no case. Null, empty and blank texts have none; copies of a row count once."""
     texts = texts.select("tbl", "id", "text")
     use = decoder or learn(texts, "text")
     found = texts.where("trim(text) <> ''").mapInArrow(lambda it: _find(it, use), "tbl string, id string, kinds array<string>")

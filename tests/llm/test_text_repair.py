@@ -92,3 +92,26 @@ def test_sentence_frame(spark):
 def test_very_long_text():
     text = "A sentence of words. " * 20_000
     assert len(SP.split(text)) == 20_000
+
+
+def test_cut_words_without_hyphen_and_words_run_together():
+    assert DEC.noise("the learn\ners infer") == {"merge"} == DEC.noise("the learn ers infer")
+    assert DEC.repair("Given the learn\ners and the num ber line")[0] == "Given the learners and the number line"
+    assert DEC.noise("the numberline of each") == {"split"}
+    assert DEC.repair("the numberline of each")[0] == "the number line of each"
+    assert DEC.repair("the learn\nersand students")[0] == "the learners and students"
+    assert DEC.noise("the number\nline and learners") == set() == DEC.noise("in the pass each line")
+    assert DEC.noise("for the Numberline in one") == set() == DEC.noise("the order of numberline…")
+
+
+def test_halves_at_hyphens_are_no_words():
+    d = scans.Decoder(WORDS | {"ers": 60, "learn": 160}, {}, 0, {"ers": 60, "learn": 60})
+    assert d.noise("the learn ers infer") == {"merge"}
+
+
+def test_run_together_words_are_repaired_but_no_case(spark):
+    base = [("t", f"g{i}", "students learn about fractions and the number line in order") for i in range(30)]
+    df = spark.createDataFrame(base + [("t", "cut", "the frac\ntions in order"), ("t", "run", "the numberline in order")], "tbl string, id string, text string")
+    assert rows(scans.find_noise(df), "id") == [("cut",)]
+    fixed = {r[0]: r[1] for r in rows(scans.repair_texts(df), "id", "text")}
+    assert fixed["cut"] == "the fractions in order" and fixed["run"] == "the number line in order"
