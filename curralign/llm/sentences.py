@@ -69,6 +69,8 @@ _AFTER = re.compile(rf"[{_CLOSERS}]*")
 _GAP = re.compile(rf"[{_SPACE}]*")
 _OPENERS = "([{\"'“”„«‘¿¡（「『"
 _WORD = re.compile(r"[\w\u0300-\u036f'’-]+")
+#: A word with a stop that goes on: in lower case, or with a digit, with which a sentence may begin too.
+_GOES_ON = re.compile(r"(?<![\w.])([^\W\d_]+(?:\.[^\W\d_]+)*)\.(?:[ \t\xa0]*(?:\r\n|[\r\n])[ \t\xa0]*|[ \t\xa0]+)(?=([^\W_]))")
 _CASELESS = re.compile(rf"[{_SCRIPTED}]")
 
 
@@ -78,7 +80,10 @@ class Splitter:
 
     def __init__(self, followers: dict[str, tuple[int, int]], starters: dict[str, int]) -> None:
         self.learned = {w for w, (on, new) in followers.items() if on >= LEARNED_LEAST and on >= LEARNED_SHARE * (on + new)}
+        #: Words that end sentences of the corpus.
+        self.enders = {w for w, (on, new) in followers.items() if new >= LEARNED_LEAST and on < LEARNED_SHARE * (on + new)}
         self.starters = starters
+        self._of: tuple[str, frozenset[str]] = "", frozenset()
 
     def split(self, text: str) -> list[tuple[int, int]]:
         """Offsets of the sentence units in code points."""
@@ -251,6 +256,8 @@ class Splitter:
                 if before and before[-1].lower() in BEFORE_ORDINAL:
                     return False
             return True
+        if low not in MAYBE_FINAL and low not in NEVER_FINAL and low in self._abbreviations(text):
+            return not c.isdigit() and not self._name(text, nxt, hi) and self._common(text, nxt, hi)
         if low in MAYBE_FINAL or low in self.learned and low not in NEVER_FINAL:
             if c.isdigit() and low not in ("a.m", "p.m", "etc", "usw", "εκ"):
                 return False
@@ -267,6 +274,26 @@ class Splitter:
             return False
         return True
 
+    def _abbreviations(self, text: str) -> frozenset[str]:
+        """Words (lower case) that go on after a stop somewhere in the document and occur nowhere in it without one."""
+        if self._of[0] is not text:
+            on = set()
+            for m in _GOES_ON.finditer(text):
+                c, word = m.group(2), m.group(1).lower()
+                if c.islower() and not _mixed(text, m.end()) or c.isdigit() and len(word) <= 5 and word not in self.enders:
+                    on.add(word)
+            low = text.lower() if on else ""
+            self._of = text, frozenset(w for w in on if not re.search(rf"(?<!\w){re.escape(w)}(?![\w.])", low))
+        return self._of[1]
+
+    def _name(self, text: str, at: int, hi: int) -> bool:
+        """Whether the word at ``at`` is a name in the document: with a capital after a word in lower case, and never in lower case."""
+        m = _WORD.match(text, at, hi)
+        if not m or not m.group()[0].isupper():
+            return False
+        word = re.escape(m.group())
+        return re.search(rf"[^\W\d_A-Z],? {word}(?!\w)", text) is not None and re.search(rf"(?<!\w){word.lower()}(?!\w)", text) is None
+
     def _titled(self, text: str, dot: int, word: str) -> bool:
         """An abbreviation that goes on elsewhere in the document."""
         return re.search(rf"(?<!\w){re.escape(word)}\. ?(?:[a-z\d])", text) is not None
@@ -350,7 +377,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Splitter:
     evidence.unpersist()
     on = {r["word"]: r["n"] for r in rows if r["kind"] == "on"}
     new = {r["word"]: r["n"] for r in rows if r["kind"] == "new"}
-    return Splitter({w: (n, new.get(w, 0)) for w, n in on.items()}, {r["word"]: r["n"] for r in rows if r["kind"] == "start"})
+    return Splitter({w: (on.get(w, 0), new.get(w, 0)) for w in on.keys() | new.keys()}, {r["word"]: r["n"] for r in rows if r["kind"] == "start"})
 
 
 def _split(batches: Iterator[pa.RecordBatch], splitter: Splitter) -> Iterator[pa.RecordBatch]:

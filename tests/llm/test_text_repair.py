@@ -61,6 +61,14 @@ def test_abbreviations_numbers_and_names():
     assert cut("At https://a.example/x.7/t?id=3. The V.R. Board met.") == ["At https://a.example/x.7/t?id=3.", "The V.R. Board met."]
 
 
+def test_abbreviations_of_the_document():
+    on = "The distr. of Orvane was large. "
+    assert cut(on + "The distr. Orvane met. See it.") == ["The distr. of Orvane was large.", "The distr. Orvane met.", "See it."]
+    assert cut(on + "It is a distr. The end.") == ["The distr. of Orvane was large.", "It is a distr.", "The end."]
+    assert cut("A plan. then it ends. The plan is made with Orvane. It is a plan. Orvane left.")[-1] == "Orvane left."
+    assert cut("The distr. Orvane met.") == ["The distr.", "Orvane met."]
+
+
 def test_quotations_brackets_and_ellipses():
     assert cut('The class wrote: "It was hard. We won!" The end.') == ['The class wrote: "It was hard. We won!"', "The end."]
     assert cut('"Stop. Count again," said Mr. Quist. “Who?” one pupil asked. (See No. 2.) Did he say "no"?! Yes.') == ['"Stop. Count again," said Mr. Quist.', "“Who?” one pupil asked.", "(See No. 2.)", 'Did he say "no"?!', "Yes."]
