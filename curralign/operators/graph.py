@@ -107,16 +107,14 @@ def learning_path(edges: DataFrame, standards: DataFrame, targets: DataFrame, fr
     )
 
 
-def all_pairs_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def all_pairs_closure(edges: DataFrame) -> DataFrame:
     """``node, ancestor``: all ancestors of each node over ``src -> dst``; a node on a cycle is its own ancestor's descendant but never its own ancestor."""
     steps = cut(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
     known = steps.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"))
     new = known
-    for _ in range(max_rounds):
+    while not new.isEmpty():
         more = new.join(steps, F.col("ancestor") == F.col("src")).select("node", F.col("dst").alias("ancestor")).where("node <> ancestor").distinct()
         new = cut(more.join(known, ["node", "ancestor"], "left_anti"))
-        if new.isEmpty():
-            break
         known = cut(known.unionByName(new))
     return known
 

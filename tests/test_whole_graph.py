@@ -67,3 +67,10 @@ def test_prune_has_every_root(spark, root):
         ahead = {x for (a, x) in walk(0.9, back=True, roots=[start])} if start != "gone" else set()
         assert r in got[r] and (start == "gone" or start in got[r])
         assert got[r] <= ahead | {r}
+
+
+def test_all_pairs_closure_has_no_last_round(spark):
+    from curralign.operators import graph
+
+    edges = spark.createDataFrame([(f"c{i:02}", f"c{i + 1:02}") for i in range(67)], "src string, dst string").coalesce(1)
+    assert graph.all_pairs_closure(edges).count() == 67 * 68 // 2
