@@ -32,7 +32,7 @@ def test_one_cell_is_exact(spark):
     ids = [f"v{i:03}" for i in range(120)]
     df = spark.createDataFrame([(i, [float(v) for v in row], "extra") for i, row in zip(ids, x, strict=True)], "id string, vec array<double>, cosine string")
     got: dict = {}
-    for i, nb, *_ in rows(neighbours.nearest(df, 5, 16, probes=1, cells=1)):
+    for i, nb, *_ in rows(neighbours.nearest(df, 5, 16, cells=1)):
         got.setdefault(i, set()).add(nb)
     assert got == exact(x, ids, 5)
 
@@ -53,6 +53,24 @@ def test_recall_over_cells_and_split_tiles(spark, monkeypatch):
     assert sum(len(got[i] & want[i]) for i in ids) / 3000 > 0.97
 
 
+def test_two_levels_and_split_cells(spark, monkeypatch):
+    for name, value in (("MEMBERS", 24), ("FLAT", 4), ("TILE", 64), ("ASKING", 128)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    x = centres[rng.integers(0, 12, 500)] + 0.3 * rng.normal(size=(500, 16))
+    x[:170] = centres[0] + 0.05 * rng.normal(size=(170, 16))
+    ids = [f"v{i:03}" for i in range(500)]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "id string, vec array<double>")
+    want = exact(x, ids, 5)
+    got: dict = {}
+    for i, nb, *_ in rows(neighbours.nearest(df, 5, 16)):
+        assert nb not in got.setdefault(i, set())
+        got[i].add(nb)
+    assert all(len(v) == 5 for v in got.values()) and len(got) == 500
+    assert sum(len(got[i] & want[i]) for i in ids) / 2500 > 0.9
+
+
 def test_equal_directions_and_few_vectors(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [3.0, 0.0])], "id string, vec array<double>")
     got = rows(neighbours.nearest(df, 1, 2), "id", "nb")
