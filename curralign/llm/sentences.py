@@ -1,8 +1,10 @@
 """Sentence boundaries across languages and scripts: document-centred disambiguation.
 
-A full stop after a word is ambiguous. It is decided by what is unambiguous elsewhere: whether the same word with a stop goes
-on in lower case (an abbreviation), whether the next word occurs in lower case in the same document (a common word, so its
-capital marks a beginning), and, where the document is silent, by the counts of the whole corpus. Scripts
+A full stop after a word is ambiguous. It is decided by what is unambiguous elsewhere, first in the same document, then in the
+corpus: a word whose stop is followed by lower case, a digit or a mark that goes on is an abbreviation; one whose stop closes a
+paragraph ends sentences; one that is often followed by capitals and yet never closes a paragraph stands before names. Of a
+capitalised word after an abbreviation it counts whether it occurs in lower case (a common word, so its capital marks a beginning) or with a
+capital inside sentences (a name). Ordinal numbers and verbs of saying are told from their uses in the same way; there is no list of words. Scripts
 have rules of their own: ideographic and Devanagari terminators are unambiguous, Greek asks with a semicolon, Thai ends a
 sentence with a blank. Quotations and brackets are passed over whole and judged by what surrounds them.
 """
@@ -10,36 +12,26 @@ sentence with a blank. Quotations and brackets are passed over whole and judged
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Abbreviations by what may follow them.
-#: A name, a number or a lower-case word goes on; the stop never ends a sentence.
-NEVER_FINAL = frozenset(
-    "dr mr mrs ms prof st jr messrs rev hon gen col capt lt sgt vs v viz cf e.g i.e eg ie approx no nos fig figs ch sec vol pp p ed eds al"
-    " sr sra srta dra d pág págs núm art ej cap aprox ud uds"
-    " m mm mme mlle me chap env ex fig n"
-    " ca bzw abb nr s z b hr fr bspw vgl d.h dh evtl ggf inkl kap bd"
-    " κ κα δρ βλ σελ σχ π.χ αρ κεφ"
-    " د ص أ م"
-    " डॉ पृ श्री सं".split()
-)
-#: Units, times and the like: the stop ends a sentence if a new one begins after it.
-MAYBE_FINAL = frozenset("a.m p.m am pm etc cm mm km kg min mins sec hrs in ft inc ltd co usw mal std εκ κλπ κ.λπ μ.μ π.μ λεπ".split())
-#: Words of which a German number with a stop is an ordinal.
-BEFORE_ORDINAL = frozenset("der die das dem den des am im zum zur vom beim jeder jede jedes jedem jeden ihr ihre seine dieser diese dieses diesem diesen".split())
-#: Verbs of saying, for a quotation that is followed by a capital.
-SAYING = frozenset("said says asked asks wrote writes replied answered added cried called wondered explained whispered shouted".split())
-
-#: An abbreviation in the corpus: the share of its stops that lower case or a digit follows, and the least number of them.
-LEARNED_SHARE, LEARNED_LEAST = 0.3, 5
-#: Types kept from the corpus, as a share of all stops; so at most its inverse.
-LEAST_SHARE = 1e-6
+from . import evidence
+from .evidence import Counts
+
+#: An abbreviation: how many of its stops go on at least, and which share of them.
+ON_LEAST, ON_SHARE = 3, 0.1
+#: A word before names: how many paragraphs its stops would close at least if they ended sentences, the share that may, and the share of its uses without a stop.
+MISSED, STRAY, BARE = 4.0, 0.002, 0.1
+#: The share of an abbreviation's stops from which a digit goes on.
+DIGITS = 0.05
+#: How often a number with a stop is an ordinal after a word, and a word a verb of saying, at least.
+ORDINAL, SAID = 3, 2
+#: Words of a clause that names a speaker, up to its verb.
+CLAUSE = 4
 
 _SPACE = " \t\r\n\x0b\x0c\x85\xa0  -     　"
 _LINE = re.compile(r"\r\n|[\r\n\x85\u2028\u2029]")
@@ -69,21 +61,146 @@ _AFTER = re.compile(rf"[{_CLOSERS}]*")
 _GAP = re.compile(rf"[{_SPACE}]*")
 _OPENERS = "([{\"'“”„«‘¿¡（「『"
 _WORD = re.compile(r"[\w\u0300-\u036f'’-]+")
-#: A word with a stop that goes on: in lower case, or with a digit, with which a sentence may begin too.
-_GOES_ON = re.compile(r"(?<![\w.])([^\W\d_]+(?:\.[^\W\d_]+)*)\.(?:[ \t\xa0]*(?:\r\n|[\r\n])[ \t\xa0]*|[ \t\xa0]+)(?=([^\W_]))")
 _CASELESS = re.compile(rf"[{_SCRIPTED}]")
 
 
-class Splitter:
-    """Splits documents with the abbreviations learned from a corpus: ``{word: (goes on, begins anew)}``, and the words
-    that begin sentences after an unambiguous end: ``{word: count}``."""
+_LOWER = "a-zß-öø-ÿα-ωά-ώа-яё"
+_CASED = rf"[\\w\u0300-\u036f'’-]*"
+_TOKEN = re.compile(rf"[{_UPPER}{_LOWER}][\w\u0300-\u036f'’-]*(?![\w.])")
+_INSIDE = re.compile(rf"[{_LOWER},] ([{_UPPER}][\w\u0300-\u036f'’-]*)")
+_FREE_START = re.compile(rf"[!?] ([{_UPPER}][\w\u0300-\u036f'’-]*)")
+_STOPPED = re.compile(r"\.(?=\s|\Z)")
+_NUMBERED = re.compile(r"(?<=[ \xa0])\d{1,3}(?=\.?(?:\s|\Z))")
+_QUOTED = re.compile(r"[ \xa0]?[:,][ \xa0]?[“„«\"]")
+_SPOKEN = re.compile(rf"[,!?.;…][”“»\"],? ([{_LOWER}]+)")
+_GAP_ALL = re.compile(r"\s*")
+
+
+def _before(text: str, at: int) -> str:
+    """The word that ends at ``at``, without opening marks; ideographs part words."""
+    i = at
+    while i > 0 and not text[i - 1].isspace() and text[i - 1] < "\u2e80":
+        i -= 1
+    return text[i:at].lstrip(_OPENERS)
+
+
+def _lower(word: str) -> str:
+    """In lower case, accents composed."""
+    return word.lower() if word.isascii() else unicodedata.normalize("NFC", word.lower())
+
+
+def _worded(word: str) -> bool:
+    return bool(word) and (word[-1].isalpha() or "\u0300" <= word[-1] <= "\u036f" or "\u0900" <= word[-1] <= "\u0dff")
+
+
+def _after(text: str, at: int) -> str:
+    """What follows a stop that ends at ``at``: ``e`` the end of a paragraph, ``l`` lower case or a mark that goes on, ``d`` a digit, ``u`` anything else."""
+    nxt = _GAP_ALL.match(text, at).end()
+    gap = text[at:nxt]
+    lines = gap.count("\n") + gap.count("\r") - gap.count("\r\n") + gap.count("\u2029")
+    if nxt >= len(text) or lines > 1:
+        return "e"
+    c = text[nxt]
+    if lines and (_BULLET.match(text, nxt) or _NUMBER.match(text, nxt)):
+        return "e"
+    if c.islower():
+        return "u" if _mixed(text, nxt) else "l"
+    return "l" if c in ",;:·،、；：)%=" else "d" if c.isdigit() else "u"
+
+
+def stops(text: str) -> list[tuple[str, str]]:
+    """(word in lower case, what follows) of every stop after a word that a blank or the end follows."""
+    out = []
+    for m in _STOPPED.finditer(text):
+        word = _before(text, m.start())
+        if _worded(word):
+            out.append((_lower(word), _after(text, m.end())))
+    return out
+
+
+def numbers(text: str) -> list[tuple[str, str]]:
+    """(word before it in lower case, what follows its stop, or ``b`` without a stop) of every short number after a word."""
+    out = []
+    for m in _NUMBERED.finditer(text):
+        word = _before(text, m.start() - 1)
+        if word.isalpha():
+            out.append((word.lower(), _after(text, m.end() + 1) if text[m.end() : m.end() + 1] == "." else "b"))
+    return out
+
+
+def evidence_keys(text: str) -> list[str]:
+    """What one document tells the corpus: ``s`` stops by word and what follows, ``o`` numbers by the word before, ``t`` cased
+    words without a stop and ``m`` words with a capital inside sentences (once a document), ``x`` beginnings, ``v`` verbs before and after quotations."""
+    out = [f"s{kind}{word}" for word, kind in stops(text)]
+    out += ["total"] * len(out) + ["total e"] * sum(k[1] == "e" for k in out)
+    out += [f"o{kind}{word}" for word, kind in numbers(text)]
+    out += ["t" + w for w in set(_TOKEN.findall(text))]
+    out += ["m" + w for w in set(_INSIDE.findall(text))]
+    out += ["x" + w for w in _FREE_START.findall(text)]
+    for m in _QUOTED.finditer(text):
+        word = _before(text, m.start())
+        if word.isalpha():
+            out.append("vb" + word.lower())
+    return out + ["va" + w for w in _SPOKEN.findall(text)]
+
 
-    def __init__(self, followers: dict[str, tuple[int, int]], starters: dict[str, int]) -> None:
-        self.learned = {w for w, (on, new) in followers.items() if on >= LEARNED_LEAST and on >= LEARNED_SHARE * (on + new)}
-        #: Words that end sentences of the corpus.
-        self.enders = {w for w, (on, new) in followers.items() if new >= LEARNED_LEAST and on < LEARNED_SHARE * (on + new)}
-        self.starters = starters
-        self._of: tuple[str, frozenset[str]] = "", frozenset()
+class Splitter:
+    """Splits documents with the evidence of a corpus: ``counts`` of :func:`evidence_keys`."""
+
+    def __init__(self, counts: Counts) -> None:
+        self.counts = counts
+        self.classes: dict[str, str] = {}
+        self._of: str | None = None
+        self._stops: dict[str, set[str]] = {}
+        self._words: tuple[set[str], set[str]] | None = None
+        self._ordinals: set[str] | None = None
+
+    def corpus_class(self, low: str) -> str:
+        """``never`` (stands before names and numbers), ``short`` (an abbreviation that may end a sentence), ``plain``; empty for a word without a stop in the corpus."""
+        got = self.classes.get(low)
+        if got is not None:
+            return got
+        n = self.counts.n
+        on, digit, up, end = n("sl" + low) + (d := n("sd" + low)), d, n("su" + low), n("se" + low)
+        uses = on + up + end
+        got = "plain" if uses else ""
+        if uses:
+            closing = max(0.01, n("total e") / max(1, n("total")))
+            if end <= STRAY * uses and up * closing >= MISSED and (on >= ON_SHARE * uses or n("t" + low) + n("t" + low[:1].upper() + low[1:]) <= BARE * uses):
+                got = "never"
+            elif on >= ON_LEAST and on >= ON_SHARE * uses:
+                got = "short digit" if digit >= DIGITS * uses else "short"
+        self.classes[low] = got
+        return got
+
+    def _class(self, text: str, low: str) -> str:
+        """The class of a word with a stop: by the document where it is unambiguous there, else by the corpus."""
+        here = self._document(text).get(low)
+        corpus = self.corpus_class(low)
+        if here and ("l" in here or "d" in here and len(low) <= 5 and corpus != "plain"):
+            if corpus in ("", "plain") and not self._bare(text, low):
+                return "short digit" if "d" in here else "short"
+            return corpus or "plain"
+        return "plain" if here and "e" in here and corpus != "never" else corpus or "plain"
+
+    def _document(self, text: str) -> dict[str, set[str]]:
+        if self._of is not text:
+            self._of, self._words, self._ordinals = text, None, None
+            self._stops = {}
+            for word, kind in stops(text):
+                self._stops.setdefault(word, set()).add(kind)
+        return self._stops
+
+    def _bare(self, text: str, low: str) -> bool:
+        """Whether a word stands in the document without a stop."""
+        return re.search(rf"(?<!\w){re.escape(low)}(?![\w.])", text.lower()) is not None
+
+    def _cased(self, text: str) -> tuple[set[str], set[str]]:
+        """The words of the document that occur without a stop, and those with a capital inside sentences."""
+        self._document(text)
+        if self._words is None:
+            self._words = set(_TOKEN.findall(text)), set(_INSIDE.findall(text))
+        return self._words
 
     def split(self, text: str) -> list[tuple[int, int]]:
         """Offsets of the sentence units in code points."""
@@ -213,17 +330,43 @@ class Splitter:
             if start == begin or c in "とっ":
                 return None
             return end
-        if start == begin and c.isupper():
-            clause = re.split(r"[.!?](?=\s|$)", text[nxt : min(hi, nxt + 120)].replace("Mr.", "Mr").replace("Mrs.", "Mrs").replace("Dr.", "Dr").replace("Prof.", "Prof"))[0].split()
-            if any(w.strip(",") in SAYING for w in clause[:4]):
-                return None
+        if start == begin and c.isupper() and self._names_speaker(text, nxt, hi):
+            return None
         return end
 
+    def _names_speaker(self, text: str, at: int, hi: int) -> bool:
+        """Whether the clause at ``at`` has a verb of saying among its first words."""
+        n = self.counts.n
+        for _ in range(CLAUSE):
+            end = at
+            while end < hi and not text[end].isspace():
+                end += 1
+            word = text[at:end]
+            bare = word.strip(",;:.!?").lower()
+            if bare.isalpha() and word[:1].islower() and (n("vb" + bare) >= SAID or n("va" + bare) >= SAID and 5 * n("va" + bare) >= n("t" + bare)):
+                return True
+            if word.endswith(("!", "?")) or word.endswith(".") and not self._class(text, word[:-1].lower()).startswith(("never", "short")):
+                return False
+            at = _GAP.match(text, end, hi).end()
+            if at >= hi:
+                return False
+        return False
+
+    def _ordinal(self, text: str, word: str) -> bool:
+        """Whether a number with a stop after ``word`` is an ordinal: it goes on in the document, or mostly in the corpus."""
+        self._document(text)
+        if self._ordinals is None:
+            self._ordinals = {w for w, kind in numbers(text) if kind == "l"}
+        if word in self._ordinals:
+            return True
+        n = self.counts.n
+        goes, up, bare, end = n("ol" + word), n("ou" + word), n("ob" + word), n("oe" + word)
+        return goes + up >= ORDINAL and end <= STRAY * (goes + up) and bare <= goes + up
+
     def _stop(self, text: str, dot: int, end: int, hi: int) -> bool:
         """Whether the full stop at ``dot``, with closing marks up to ``end``, ends a sentence."""
         nxt = _GAP.match(text, end, hi).end()
-        last = text[max(0, dot - 40) : dot].split()[-1:]
-        word = last[0].lstrip(_OPENERS) if last and not text[dot - 1].isspace() else ""
+        word = _before(text, dot)
         if "." in word:
             head, tail = word.rsplit(".", 1)
             if len(head) > 2 and len(tail) > 1 and tail[0].isupper() and "." not in head:
@@ -231,87 +374,64 @@ class Splitter:
         if nxt >= hi:
             return True
         c = text[nxt]
+        low = _lower(word)
         if nxt == end:  # no blank after it: a missing one, or a mark inside a word
             before = text[dot - 1 : dot]
             if c in "\"“„«¿¡(":
-                return before.isalpha() and len(word) > 1 and word.lower() not in NEVER_FINAL
+                return before.isalpha() and len(word) > 1 and self._class(text, low) == "plain"
             if _CASELESS.match(c):
-                return len(word) >= 3 and bool(_CASELESS.match(before)) and word not in NEVER_FINAL
-            if word.lower() in MAYBE_FINAL:
-                return c.isupper()
+                return len(word) >= 3 and bool(_CASELESS.match(before)) and self._class(text, low) == "plain"
             if not before.islower() and before not in ")”»\"":
                 return bool(before.isdigit() and c.isupper() and text[nxt + 1 : nxt + 2].islower() and not re.search(r"[A-Z./-]\d+$", text[max(0, dot - 12) : dot]))
-            known = word.lower() in NEVER_FINAL or "." in word and word.lower() not in MAYBE_FINAL
-            return not known and len(word) >= 3 and "/" not in text[max(0, dot - 25) : dot].rsplit(" ", 1)[-1]
+            if "." in word:
+                return c.isupper() and self.counts.n("se" + low) > 0
+            return len(word) >= 3 and self._class(text, low) == "plain" and "/" not in word
         if c.islower() and not _mixed(text, nxt):
             return False
         if c in ",;:·،、，；：)%=":
             return False
-        low = word.lower()
-        if word.isdigit() or not word:
-            if not word:
-                return not c.islower()
-            if c.isupper():
-                before = text[max(0, dot - len(word) - 14) : dot - len(word)].split()
-                if before and before[-1].lower() in BEFORE_ORDINAL:
-                    return False
-            return True
-        if low not in MAYBE_FINAL and low not in NEVER_FINAL and low in self._abbreviations(text):
-            return not c.isdigit() and not self._name(text, nxt, hi) and self._common(text, nxt, hi)
-        if low in MAYBE_FINAL or low in self.learned and low not in NEVER_FINAL:
-            if c.isdigit() and low not in ("a.m", "p.m", "etc", "usw", "εκ"):
-                return False
-            return self._common(text, nxt, hi)
-        if low in NEVER_FINAL:
-            if len(low) == 1 and low != word and not c.isdigit():
-                return False
-            return low in ("no", "in", "art", "ex", "al", "me", "da", "d", "ed", "sec", "fig", "m", "b", "s", "z", "n", "v") and word == low and not c.isdigit() and len(low) > 1 and self._common(text, nxt, hi) and not self._titled(text, dot, word)
+        if not word:
+            return not c.islower()
+        if word.isdigit():
+            return not (c.isupper() and self._ordinal(text, _before(text, dot - len(word) - 1).lower()))
+        kind = self._class(text, low)
+        if kind == "never":
+            return False
+        if kind.startswith("short"):
+            if c.isdigit():
+                return kind == "short"
+            return not self._name(text, nxt, hi) and self._common(text, nxt, hi)
         if len(word) == 1:
-            if word.isupper():
-                return False
-            return not _CASELESS.match(word)
+            return not word.isupper() and not _CASELESS.match(word)
         if "." in word and len(word) <= 7 and all(len(p) == 1 and p.isalpha() for p in word.split(".")):
-            return False
+            return self.counts.n("se" + low) > 0
         return True
 
-    def _abbreviations(self, text: str) -> frozenset[str]:
-        """Words (lower case) that go on after a stop somewhere in the document and occur nowhere in it without one."""
-        if self._of[0] is not text:
-            on = set()
-            for m in _GOES_ON.finditer(text):
-                c, word = m.group(2), m.group(1).lower()
-                if c.islower() and not _mixed(text, m.end()) or c.isdigit() and len(word) <= 5 and word not in self.enders:
-                    on.add(word)
-            low = text.lower() if on else ""
-            self._of = text, frozenset(w for w in on if not re.search(rf"(?<!\w){re.escape(w)}(?![\w.])", low))
-        return self._of[1]
-
-    def _name(self, text: str, at: int, hi: int) -> bool:
-        """Whether the word at ``at`` is a name in the document: with a capital after a word in lower case, and never in lower case."""
+    def _next_word(self, text: str, at: int, hi: int) -> str:
+        while at < hi and not text[at].isalnum():
+            at += 1
         m = _WORD.match(text, at, hi)
-        if not m or not m.group()[0].isupper():
-            return False
-        word = re.escape(m.group())
-        return re.search(rf"[^\W\d_A-Z],? {word}(?!\w)", text) is not None and re.search(rf"(?<!\w){word.lower()}(?!\w)", text) is None
+        return "" if not m or _CASELESS.match(text[at]) or _mixed(text, at) else m.group()
 
-    def _titled(self, text: str, dot: int, word: str) -> bool:
-        """An abbreviation that goes on elsewhere in the document."""
-        return re.search(rf"(?<!\w){re.escape(word)}\. ?(?:[a-z\d])", text) is not None
+    def _name(self, text: str, at: int, hi: int) -> bool:
+        """Whether the word at ``at`` is a name in the document: with a capital inside sentences, and never in lower case."""
+        word = self._next_word(text, at, hi)
+        words, inside = self._cased(text)
+        return word[:1].isupper() and word in inside and word.lower() not in words
 
     def _common(self, text: str, at: int, hi: int) -> bool:
-        """Whether the word at ``at`` begins a sentence rather than being a name: it occurs in lower case in the document, or it begins sentences of the corpus."""
-        while at < hi and not text[at].isalnum():
-            at += 1
-        m = _WORD.match(text, at, hi)
-        if not m or _CASELESS.match(text[at]) or _mixed(text, at):
+        """Whether the word at ``at`` begins a sentence rather than being a name: it is a common word of the document, or in
+        the corpus more often than a name, or it begins sentences there. A title begins a name, and a name may begin a sentence."""
+        word = self._next_word(text, at, hi)
+        if not word:
             return True
-        word = m.group()
-        low = word.lower()
-        if low != word and (f" {low} " in text or f" {low}," in text):
+        low, n = word.lower(), self.counts.n
+        if low != word and low in self._cased(text)[0] or self.corpus_class(low) == "never":
             return True
-        if low in NEVER_FINAL:  # a title begins a name, and a name may begin a sentence
-            return True
-        return self.starters.get(word, 0) > 0 or not self.starters
+        common, name = n("t" + low) if low != word else 0, n("m" + word)
+        if common or name:
+            return common >= name
+        return n("x" + word) > 0
 
 
 def _is_greek(text: str, at: int) -> bool:
@@ -331,73 +451,23 @@ def _add(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
         out.append((lo + a, lo + b))
 
 
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, word, n): words before a stop by what follows, and words that begin a sentence after an unambiguous end."""
-    counts: Counter[tuple[str, str]] = Counter()
+def learn(docs: DataFrame, text_col: str = "text") -> evidence.Evidence:
+    """The evidence of all documents, counted in each task and summed after one small shuffle; what occurs but once in the corpus tells nothing."""
+    return evidence.learn(docs, text_col, evidence_keys, 2)
 
-    def flush() -> pa.RecordBatch:
-        rows = list(counts.items())
-        counts.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k for (k, _), _ in rows], pa.string()), pa.array([w for (_, w), _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["kind", "word", "n"]
-        )
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if not text:
-                continue
-            parts = text.split(". ")
-            for left, right in zip(parts, parts[1:], strict=False):
-                word = left[-24:].rsplit(None, 1)[-1:]
-                first = right[:1]
-                if not word or not first:
-                    continue
-                w = word[0].lstrip("(\"'“«„[").lower()
-                if len(w) <= 8 and w and w[-1].isalpha():
-                    counts["on" if first.islower() or first.isdigit() else "new", w] += 1
-                if len(w) > 5 and w.isalpha() and first.isupper():
-                    head = right[:32].split(None, 1)[0].rstrip(",.;:…")
-                    if head.isalpha():
-                        counts["start", head] += 1
-        if len(counts) > 200_000:
-            yield flush()
-    yield flush()
-
-
-def corpus_evidence(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``kind, word, n`` over all documents: counted in each task, summed after one small shuffle."""
-    return docs.select(text_col).mapInArrow(_evidence, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-
-
-def learn(docs: DataFrame, text_col: str = "text") -> Splitter:
-    """A splitter for the corpus. Words rarer than ``LEAST_SHARE`` of all stops are left out, which bounds what is sent."""
-    evidence = corpus_evidence(docs, text_col).persist()
-    total = evidence.agg(F.sum("n")).first()[0] or 0
-    rows = evidence.where(F.col("n") >= max(2, int(total * LEAST_SHARE))).collect()
-    evidence.unpersist()
-    on = {r["word"]: r["n"] for r in rows if r["kind"] == "on"}
-    new = {r["word"]: r["n"] for r in rows if r["kind"] == "new"}
-    return Splitter({w: (on.get(w, 0), new.get(w, 0)) for w in on.keys() | new.keys()}, {r["word"]: r["n"] for r in rows if r["kind"] == "start"})
-
-
-def _split(batches: Iterator[pa.RecordBatch], splitter: Splitter) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, counts, flat = batch.column(0), [], []
-        for text in batch.column(1).to_pylist():
-            units = splitter.split(text) if text else []
-            counts.append(len(units))
-            flat += units
-        at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-        ends = np.array(flat, dtype=np.int32).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=[batch.schema.names[0], "start_char", "end_char"])
-
-
-def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", splitter: Splitter | None = None) -> DataFrame:
+def _units(counts: Counts) -> Callable[[str | None], list[dict[str, int]]]:
+    splitter = Splitter(counts)
+    return lambda text: [{"start_char": a, "end_char": b} for a, b in splitter.split(text)] if text else []
+
+
+def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: evidence.Evidence | None = None) -> DataFrame:
     """``id_col, start_char, end_char``: the sentence units of every text, as offsets in code points, the end exclusive.
 
     Null, empty and blank texts give no rows; repeated rows repeat their units; other columns are left out. One pass over the
-    texts learns the evidence of the corpus, another splits; texts are never shuffled.
+    texts learns the evidence of the corpus, another splits; texts are not shuffled, but for those that need rare evidence.
     """
-    use = splitter or learn(docs, text_col)
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(lambda it: _split(it, use), f"`{id_col}` {kind}, start_char int, end_char int")
+    use = known or learn(docs, text_col)
+    unit = pa.list_(pa.struct([("start_char", pa.int32()), ("end_char", pa.int32())]))
+    units = evidence.read_texts(docs.select(id_col, text_col), text_col, use, _units, "array<struct<start_char: int, end_char: int>>", unit)
+    return units.select(id_col, F.explode("result").alias("u")).select(id_col, "u.start_char", "u.end_char")

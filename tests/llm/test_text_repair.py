@@ -2,7 +2,8 @@ from __future__ import annotations
 
 from conftest import rows
 
-from curralign.llm import scans, sentences
+from curralign.llm import evidence, scans, sentences
+from curralign.llm.evidence import Counts
 
 WORDS = {w: 100 for w in "given students learn about fractions and number line the order of one two digit infer pattern well organized into words with pass each for in volume".split()}
 WORDS |= {"learners": 90, "well-organized": 20, "infer": 100, "passwords": 50}
@@ -46,7 +47,11 @@ def test_frames(spark):
     assert scans.find_noise(df.limit(0)).count() == 0
 
 
-SP = sentences.Splitter({"cf": (9, 0), "approx": (9, 1)}, {"The": 5, "See": 5, "Given": 5})
+#: What a corpus would tell: stops that go on, with digits, before capitals and at ends of paragraphs; common words and names.
+SEEN = {"total": 9000, "total e": 1500, "tthe": 500, "mThe": 20, "mHadrel": 90, "mOrvane": 90, "ou" + "der": 40, "ol" + "der": 5}
+SEEN |= {f"su{w}": 300 for w in "dr mr κ د डॉ".split()} | {f"sd{w}": 90 for w in "approx fig p ch no ص पृ".split()}
+SEEN |= {"slcf": 60, "sucf": 60, "slεκ": 60, "slp.m": 3, "sup.m": 90, "sep.m": 20, "vbasked": 40, "vasaid": 50, "tsaid": 60}
+SP = sentences.Splitter(Counts(SEEN))
 
 
 def cut(text):
@@ -69,6 +74,34 @@ def test_abbreviations_of_the_document():
     assert cut("The distr. Orvane met.") == ["The distr.", "Orvane met."]
 
 
+def test_document_decides_without_a_corpus():
+    alone = sentences.Splitter(Counts({}))
+    text = "The qzt. of it was seen. He saw qzt. marks here. Then qzt. Bravo came."
+    assert [text[a:b] for a, b in alone.split(text)] == ["The qzt. of it was seen.", "He saw qzt. marks here.", "Then qzt. Bravo came."]
+    assert alone.corpus_class("qzt") == ""
+
+
+def test_corpus_classes_are_learned():
+    text = "The class met Xr. Hadrel in the hall. It was zca. 12 long, and the hall was full.\n\nThe hall was full. It was full. The end of the hall was near.\n\nThey saw the hall, and the hall was near."
+    counts: dict = {}
+    for _ in range(60):
+        for k in sentences.evidence_keys(text):
+            counts[k] = counts.get(k, 0) + 1
+    sp = sentences.Splitter(Counts(counts))
+    assert [sp.corpus_class(w) for w in ("xr", "zca", "full", "unseen")] == ["never", "short digit", "plain", ""]
+    more = "Xr. Orvane left. It is zca. 7. Hall."
+    assert [more[a:b] for a, b in sp.split(more)] == ["Xr. Orvane left.", "It is zca. 7.", "Hall."]
+
+
+def test_rare_evidence_is_looked_up(spark):
+    texts = ["The class met Xr. Hadrel in the hall. It was zca. 12 long.\n\nThe hall was full. It was full."] * 60 + ["Xr. Orvane asked. The zca. Hall met. The end.", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole, few = (sentences.evidence.learn(df, "text", sentences.evidence_keys, 2, keep) for keep in (None, 7))
+    assert whole.complete and not few.complete
+    assert rows(sentences.split_sentences(df, known=few)) == rows(sentences.split_sentences(df, known=whole))
+    assert evidence.learn(df.limit(0), "text", sentences.evidence_keys).complete
+
+
 def test_quotations_brackets_and_ellipses():
     assert cut('The class wrote: "It was hard. We won!" The end.') == ['The class wrote: "It was hard. We won!"', "The end."]
     assert cut('"Stop. Count again," said Mr. Quist. “Who?” one pupil asked. (See No. 2.) Did he say "no"?! Yes.') == ['"Stop. Count again," said Mr. Quist.', "“Who?” one pupil asked.", "(See No. 2.)", 'Did he say "no"?!', "Yes."]
