@@ -71,24 +71,37 @@ def _counted(batches: Iterator[pa.RecordBatch], keys: Callable[[str], Iterable[s
     yield send()
 
 
-def learn(texts: DataFrame, text_col: str, keys: Callable[[str], Iterable[str]], least: int = 1, keep: int | None = None) -> Evidence:
-    """The counts of all ``keys`` of all texts; keys that occur less than ``least`` times count as absent."""
-    keep = KEEP if keep is None else keep
-    counted = texts.select(text_col).mapInArrow(lambda it: _counted(it, keys), "key string, n bigint")
-    return evidence_of(cut(counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)), keep)
+def counted(texts: DataFrame, text_col: str, keys: Callable[[str], Iterable[str]], least: int = 1) -> DataFrame:
+    """``key, n``: the counts of all ``keys`` of all texts; keys that occur less than ``least`` times are left out."""
+    part = texts.select(text_col).mapInArrow(lambda it: _counted(it, keys), "key string, n bigint")
+    return cut(part.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+
+
+def learn(texts: DataFrame, text_col: str, keys: Callable[[str], Iterable[str]], least: int = 1, keep: int | None = None, always: Iterable[str] = ()) -> Evidence:
+    """The evidence of :func:`counted`."""
+    return evidence_of(counted(texts, text_col, keys, least), keep, always)
 
 
-def evidence_of(table: DataFrame, keep: int | None = None) -> Evidence:
-    """The evidence of a table ``key, n`` that was written already."""
+def evidence_of(table: DataFrame, keep: int | None = None, always: Iterable[str] = ()) -> Evidence:
+    """The evidence of a table ``key, n`` that was written already; the few keys ``always`` travel in any case, since every text asks for them."""
     keep = KEEP if keep is None else keep
     rows = table.orderBy(F.col("n").desc(), "key").limit(keep + 1).toPandas()
     known = dict(zip(rows["key"].head(keep), rows["n"].head(keep).tolist(), strict=True))
+    fixed = list(always)
+    known |= dict.fromkeys(fixed, 0) | {r["key"]: r["n"] for r in table.where(F.col("key").isin(fixed)).collect()} if fixed else {}
     return Evidence(table, table.sparkSession.sparkContext.broadcast(known), len(rows) <= keep)
 
 
+#: What a worker's last task read with, for the next one on the same counts; what it remembers is then whole.
+_kept: dict[str, tuple[Mapping[str, int], Callable]] = {}
+
+
 def _read(batches: Iterator[pa.RecordBatch], known: Broadcast, make: Callable[[Counts], Callable], kept: list[str], text_col: str, kind: pa.DataType, complete: bool) -> Iterator[pa.RecordBatch]:
     counts = Counts(known.value, complete)
-    read = make(counts)
+    name = f"{make.__module__}.{make.__qualname__}"
+    read = _kept[name][1] if complete and name in _kept and _kept[name][0] is counts.known else make(counts)
+    if complete:
+        _kept[name] = counts.known, read
     for batch in batches:
         texts = batch.column(text_col).to_pylist()
         columns, names = [batch.column(c) for c in kept], list(kept)
@@ -98,12 +111,16 @@ def _read(batches: Iterator[pa.RecordBatch], known: Broadcast, make: Callable[[C
         answers = batch.column("answers").to_pylist() if "answers" in batch.schema.names else [None] * len(texts)
         results, asked, extras = [], [], []
         for text, answer in zip(texts, answers, strict=True):
-            counts.extra, counts.asked = {k: n for k, n in answer or []}, set()
+            if answer:
+                counts.extra = dict(answer)
+                read = make(counts)
+            counts.asked = set()
             got = read(text)
             results.append(None if counts.asked else got)
             asked.append(sorted(counts.asked))
             extras.append(list(counts.extra.items()))
             if counts.asked or counts.extra:
+                counts.extra = {}
                 read = make(counts)  # what it remembers may rest on keys that were missing, or are this text's alone
         open_ = [bool(a) for a in asked]
         yield pa.RecordBatch.from_arrays(

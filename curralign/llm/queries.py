@@ -21,8 +21,8 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, root: str) -> DataFrame:
-    standards = table(spark, root, "standards").select(F.lit("standards").alias("tbl"), "id", F.col("standard_text").alias("text"))
-    subs = table(spark, root, "sub_standards").select(F.lit("sub_standards").alias("tbl"), "id", "text")
+    standards = table(spark, root, "standards").select(F.lit("standards").alias("tbl"), "id", F.col("standard_text").alias("text"), F.col("system").alias("family"))
+    subs = table(spark, root, "sub_standards").select(F.lit("sub_standards").alias("tbl"), "id", "text", F.col("system").alias("family"))
     return standards.unionAll(subs)
 
 

@@ -453,12 +453,12 @@ def _add(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
 
 def learn(docs: DataFrame, text_col: str = "text") -> evidence.Evidence:
     """The evidence of all documents, counted in each task and summed after one small shuffle; what occurs but once in the corpus tells nothing."""
-    return evidence.learn(docs, text_col, evidence_keys, 2)
+    return evidence.learn(docs, text_col, evidence_keys, 2, always=("total", "total e"))
 
 
-def _units(counts: Counts) -> Callable[[str | None], list[dict[str, int]]]:
+def _units(counts: Counts) -> Callable[[str | None], list[tuple[int, int]]]:
     splitter = Splitter(counts)
-    return lambda text: [{"start_char": a, "end_char": b} for a, b in splitter.split(text)] if text else []
+    return lambda text: splitter.split(text) if text else []
 
 
 def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: evidence.Evidence | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from curralign.llm.evidence import Counts
 
 WORDS = {w: 100 for w in "given students learn about fractions and number line the order of one two digit infer pattern well organized into words with pass each for in volume".split()}
 WORDS |= {"learners": 90, "well-organized": 20, "infer": 100, "passwords": 50}
-DEC = scans.Decoder(WORDS, {"valmere core framework": 30}, 1000)
+DEC = scans.Decoder(scans.counts_of(WORDS, {"valmere core framework": 30}))
 
 
 def test_noise_kinds():
@@ -146,7 +146,7 @@ def test_cut_words_without_hyphen_and_words_run_together():
 
 
 def test_halves_at_hyphens_are_no_words():
-    d = scans.Decoder(WORDS | {"ers": 60, "learn": 160}, {}, 0, {"ers": 60, "learn": 60})
+    d = scans.Decoder(scans.counts_of(WORDS | {"ers": 60, "learn": 160}, {}, {"ers": 60, "learn": 60}))
     assert d.noise("the learn ers infer") == {"merge"}
 
 
@@ -156,3 +156,38 @@ def test_run_together_words_are_repaired_but_no_case(spark):
     assert rows(scans.find_noise(df), "id") == [("cut",)]
     fixed = {r[0]: r[1] for r in rows(scans.repair_texts(df), "id", "text")}
     assert fixed["cut"] == "the fractions in order" and fixed["run"] == "the number line in order"
+
+
+def test_probe_of_merges_splits_and_chains():
+    d = scans.Decoder(scans.counts_of(WORDS | {"curriculum": 80}))
+    assert d.repair("the curri culum and thenumberline and frac-\nti-\nons") == ("the curriculum and the number line and fractions", {"merge", "split", "hyphen"})
+    long = "x" * 70
+    assert d.repair(f"the {long}¬\n{long} of one")[0] == f"the {long}{long} of one"
+    assert d.repair("\n".join(["the order of one"] * 300))[0] == " ".join(["the order of one"] * 300)
+
+
+def _marks(spark, n, keep=None):
+    """Rows found in a corpus with ``n`` times the clean records and as many other headers."""
+    clean = [("t", f"g{i}", "students learn about fractions and the\nnumber line in order", f"f{i % 7}") for i in range(30 * n)]
+    heads = [("t", f"h{i}", f"students learn\nHalden Course Plan {i}\nabout the number line", "f1") for i in range(3)]
+    bare = [("t", f"b{i}", "students learn\nQuell Course Plan\nabout the number line", "f9") for i in range(6)]
+    noise = [("t", "cut", "the frac-\nti-\nons and order", "f1"), ("t", "read", "the numbcr and order", "f1")]
+    df = spark.createDataFrame(clean + heads + bare + noise, "tbl string, id string, text string, family string").repartition(3)
+    known = None if keep is None else scans.learn(df, "text", "family", keep)
+    assert keep is None or not known.complete
+    return rows(scans.find_noise(df, known)), rows(scans.repair_texts(df, known).where("not id like 'g%'"))
+
+
+def test_size_of_the_corpus_and_of_what_travels_change_nothing(spark):
+    small = _marks(spark, 1)
+    assert {r[1] for r in small[0]} == {"h0", "h1", "h2", "cut", "read", *(f"b{i}" for i in range(6))}
+    assert _marks(spark, 12) == small == _marks(spark, 1, 4)
+
+
+def test_derived_counts_match_those_in_memory(spark):
+    texts = [("the number line",)] * 40 + [("the numberline",)] * 5 + [("num ber",)] * 3 + [("number-line",)] * 3
+    ev = scans.learn(spark.createDataFrame(texts, "text string"))
+    words = {k[1:]: n for k, n in ev.known.value.items() if k.startswith("w")}
+    parts = {k[1:]: n for k, n in ev.known.value.items() if k.startswith("p")}
+    want = scans.counts_of(words, {}, parts).known
+    assert {k: n for k, n in ev.known.value.items() if k[0] == "f" or k in ("most", "longest")} == {k: n for k, n in want.items() if k[0] == "f" or k in ("most", "longest")}
