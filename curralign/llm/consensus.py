@@ -1,17 +1,19 @@
 """Best representative of each duplicate group: token-level consensus and field-by-field survivors.
 
 The values of a group are aligned progressively into columns of tokens, every value votes in each column with its
-weight, and the existing value closest to the winning tokens survives. A large group is a tournament: equal values are
-joined first, chunks of at most ``CHUNK`` values each send their representative on, with the chunk's whole weight, until one
-chunk is left. With ``priority`` columns instead of weights a value outweighs all values after it together, so
-the consensus is the value that comes first in the given order, and a tournament finds the same one as a single chunk.
+weight, and the existing value closest to the winning tokens survives. A group is read in chunks of about ``CHUNK`` values: each
+gives a profile, the columns with all their votes; profiles are aligned to each other and their votes added, level by
+level, until a group has one; then every value is compared with its group's consensus, again in chunks. No vote is lost on the way, whatever the
+size of a group. With ``priority`` columns instead of weights a value outweighs all values after it together, so a column's vote is the
+first value's that stands in it.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,10 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
 
+#: Values, and profiles, that one task aligns at a time.
 CHUNK = 64
+#: Cells of an alignment's table that are kept at once; larger ones are halved.
+CELLS = 250_000
 _TOKEN = regex.compile(r"\w+|[^\w\s]")
 
 GAP = ""
@@ -30,10 +35,54 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
-def align(columns: list[str], row: list[str]) -> list[tuple[int | None, int | None]]:
+def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Costs of aligning all of ``a`` to each beginning of ``b``."""
+    steps = np.arange(len(b) + 1)
+    row = steps.copy()
+    for x in a:
+        now = np.empty_like(row)
+        now[0] = row[0] + 1
+        now[1:] = np.minimum(row[:-1] + (b != x), row[1:] + 1)
+        row = np.minimum.accumulate(now - steps) + steps
+    return row
+
+
+def _path(a: np.ndarray, b: np.ndarray, i0: int, j0: int, out: list[tuple[int | None, int | None]]) -> None:
+    """Appends a cheapest alignment of two arrays: Needleman-Wunsch by rows, halved after Hirschberg where its table would be large."""
+    n, m = len(a), len(b)
+    if n > 1 and m > 1 and n * m > CELLS:
+        half = n // 2
+        split = int(np.argmin(_last_row(a[:half], b) + _last_row(a[half:][::-1], b[::-1])[::-1]))
+        _path(a[:half], b[:split], i0, j0, out)
+        _path(a[half:], b[split:], i0 + half, j0 + split, out)
+        return
+    steps = np.arange(m + 1)
+    cost = np.empty((n + 1, m + 1), dtype=np.int64)
+    cost[0] = steps
+    for i in range(1, n + 1):
+        now = cost[i]
+        now[0] = i
+        now[1:] = np.minimum(cost[i - 1, :-1] + (b != a[i - 1]), cost[i - 1, 1:] + 1)
+        cost[i] = np.minimum.accumulate(now - steps) + steps
+    back: list[tuple[int | None, int | None]] = []
+    i, j = n, m
+    while i or j:
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            back.append((i0 + i, j0 + j))
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            i -= 1
+            back.append((i0 + i, None))
+        else:
+            j -= 1
+            back.append((None, j0 + j))
+    out.extend(reversed(back))
+
+
+def align(columns: Sequence[str], row: Sequence[str]) -> list[tuple[int | None, int | None]]:
     """A cheapest alignment of ``row`` to ``columns`` (0 for an equal token, 1 for a gap or another token) as index pairs.
 
-    Equal beginnings and ends are matched first; the rest is Needleman-Wunsch.
+    Equal beginnings and ends are matched first.
     """
     lo = 0
     while lo < len(columns) and lo < len(row) and columns[lo] == row[lo]:
@@ -41,77 +90,121 @@ def align(columns: list[str], row: list[str]) -> list[tuple[int | None, int | No
     end = 0
     while end < min(len(columns), len(row)) - lo and columns[-1 - end] == row[-1 - end]:
         end += 1
-    a, b = columns[lo : len(columns) - end], row[lo : len(row) - end]
-    n, m = len(a), len(b)
-    path: list[tuple[int | None, int | None]] = []
-    if n and m:
-        cost = [list(range(m + 1))]
-        for i in range(1, n + 1):
-            last, ai = cost[-1], a[i - 1]
-            now = [i]
-            for j in range(1, m + 1):
-                best = last[j - 1] + (ai != b[j - 1])
-                if last[j] + 1 < best:
-                    best = last[j] + 1
-                if now[j - 1] + 1 < best:
-                    best = now[j - 1] + 1
-                now.append(best)
-            cost.append(now)
-        i, j = n, m
-        while i or j:
-            if i and j and cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-                i, j = i - 1, j - 1
-                path.append((lo + i, lo + j))
-            elif i and cost[i][j] == cost[i - 1][j] + 1:
-                i -= 1
-                path.append((lo + i, None))
-            else:
-                j -= 1
-                path.append((None, lo + j))
-        path.reverse()
-    else:
-        path = [(lo + i, None) for i in range(n)] + [(None, lo + j) for j in range(m)]
-    return [(i, i) for i in range(lo)] + path + [(len(columns) - end + i, len(row) - end + i) for i in range(end)]
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(t, len(number)) for t in x[lo : len(x) - end]], dtype=np.int64) for x in (columns, row))
+    path: list[tuple[int | None, int | None]] = [(i, i) for i in range(lo)]
+    _path(a, b, lo, lo, path)
+    return path + [(len(columns) - end + i, len(row) - end + i) for i in range(end)]
+
+
+class Profile:
+    """Columns of votes by token, :data:`GAP` included, and the vote of all values together."""
+
+    def __init__(self, columns: list[dict], vote: object, add: Callable, best: Callable) -> None:
+        self.columns, self.vote, self.add, self.best = columns, vote, add, best
+
+    @classmethod
+    def of(cls, row: list[str], vote: object, add: Callable, best: Callable) -> Profile:
+        return cls([{t: vote} for t in row], vote, add, best)
+
+    def heads(self) -> list[str]:
+        """The winning token of each column, or its best one where a gap wins."""
+        return [max((t for t in c if t != GAP), key=lambda t, c=c: (self.best(c[t]), [-ord(x) for x in t])) for c in self.columns]
+
+    def consensus(self) -> list[str]:
+        """The winning tokens; with equal votes a token wins over a gap, and the smaller token over a larger."""
+        won = (max(c, key=lambda t, c=c: (self.best(c[t]), t != GAP, [-ord(x) for x in t])) for c in self.columns)
+        return [t for t in won if t != GAP]
+
+    def merged(self, other: Profile) -> Profile:
+        """Both aligned to each other, with the votes of both."""
+        columns = []
+        for i, j in align(self.heads(), other.heads()):
+            a = self.columns[i] if i is not None else {GAP: self.vote}
+            b = other.columns[j] if j is not None else {GAP: other.vote}
+            columns.append(a | {t: self.add(a[t], v) if t in a else v for t, v in b.items()})
+        return Profile(columns, self.add(self.vote, other.vote), self.add, self.best)
+
+
+class _First:
+    """A priority as a number: the larger, the earlier."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key = key
+
+    def __lt__(self, other: _First) -> bool:
+        return other.key < self.key
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _First) and self.key == other.key
+
+
+def _votes(ranked: bool) -> tuple[Callable, Callable]:
+    """How votes add, and what makes one the best: sums of weights (with equal sums the largest single weight), or the first of priorities."""
+    return (min, _First) if ranked else (lambda x, y: (x[0] + y[0], max(x[1], y[1])), lambda x: x)
+
+
+def _dump(p: Profile) -> str:
+    return json.dumps([[[[t, v] for t, v in c.items()] for c in p.columns], p.vote])
+
+
+def _load(text: str, ranked: bool) -> Profile:
+    columns, vote = json.loads(text)
+    return Profile([{t: tuple(v) for t, v in c} for c in columns], tuple(vote), *_votes(ranked))
+
+
+def profile(values: Sequence[list[str]], votes: Sequence[object], ranked: bool = False) -> Profile:
+    """The profile of values in the given order."""
+    add, best = _votes(ranked)
+    whole = Profile.of(values[0], votes[0], add, best)
+    for row, vote in zip(values[1:], votes[1:], strict=True):
+        whole = whole.merged(Profile.of(row, vote, add, best))
+    return whole
+
+
+def distance(consensus: Sequence[str], row: Sequence[str]) -> int:
+    """Tokens to change, to add and to leave out."""
+    return sum(i is None or j is None or consensus[i] != row[j] for i, j in align(consensus, row))
 
 
 def representative(values: Sequence[list[str]], weights: Sequence[float]) -> int:
     """Index of the value closest to the weighted consensus of all; ties go to the larger weight, then to the earlier value."""
-    if len(values) == 1:
-        return 0
     order = sorted(range(len(values)), key=lambda i: (-weights[i], i))
-    votes: list[dict[str, float]] = []
-    rows: list[tuple[int, list[int]]] = []
-    heads: list[str] = []
-    mass = 0.0
-    for i in order:
-        w, row = weights[i], values[i]
-        if not rows:
-            votes = [{t: w} for t in row]
-            heads = list(row)
-        else:
-            new_votes, new_heads = [], []
-            for c, r in align(heads, row):
-                v = votes[c] if c is not None else {GAP: mass}
-                t = row[r] if r is not None else GAP
-                v[t] = v.get(t, 0.0) + w
-                new_votes.append(v)
-                new_heads.append(heads[c] if c is not None else row[r])
-            votes, heads = new_votes, new_heads
-        rows.append((i, row))
-        mass += w
-        heads = [max(v, key=lambda t, v=v: (v[t], t != GAP)) or h for v, h in zip(votes, heads, strict=True)]
-    winner = [t for t in (max(v, key=lambda t, v=v: v[t]) for v in votes) if t != GAP]
-    return min(order, key=lambda i: (sum(c is None or r is None or winner[c] != values[i][r] for c, r in align(winner, values[i])), -weights[i]))
-
-
-def _chunk(table: pa.Table, group: str, ranked: bool) -> pa.Table:
+    winner = profile([values[i] for i in order], [(weights[i], weights[i]) for i in order]).consensus()
+    return min(order, key=lambda i: (distance(winner, values[i]), -weights[i]))
+
+
+def _key(pos: dict, id_: str) -> tuple:
+    """A priority with the id, as nested numbers and strings that compare as in the order of columns: nulls are last."""
+    return (*(0 if v is None else v for v in pos.values()), id_)
+
+
+def _profiled(table: pa.Table, ranked: bool) -> pa.Table:
     rows = table.to_pylist()
-    # ids and values are compared by code point
-    rows.sort(key=lambda r: (r["pos"] is None, r["pos"], r["id"]) if ranked else (r["value"], r["id"]))
-    values = [tokens(r["value"]) for r in rows]
-    weights = [2.0**-i for i in range(len(rows))] if ranked else [r["weight"] for r in rows]
-    best = rows[representative(values, weights)]
-    return pa.Table.from_pylist([best | {"weight": float(sum(r["weight"] for r in rows))}], schema=table.schema)
+    votes = [_key(r["pos"], r["id"]) if ranked else (r["weight"], r["weight"]) for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (votes[i] if ranked else -votes[i][0], rows[i]["value"]))
+    whole = profile([tokens(rows[i]["value"]) for i in order], [votes[i] for i in order], ranked)
+    return pa.table({"g": table.column("g")[:1], "c": table.column("c")[:1], "profile": pa.array([_dump(whole)])})
+
+
+def _joined(table: pa.Table, ranked: bool) -> pa.Table:
+    parts = [_load(t, ranked) for _, t in sorted(zip(table.column("c").to_pylist(), table.column("profile").to_pylist(), strict=True))]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.merged(p)
+    return pa.table({"g": table.column("g")[:1], "c": table.column("up")[:1], "profile": pa.array([_dump(whole)])})
+
+
+def _winner(batches, ranked: bool):
+    for batch in batches:
+        won = [_load(t, ranked).consensus() for t in batch.column("profile").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(won, pa.list_(pa.string()))], names=["g", "consensus"])
+
+
+def _measured(batches):
+    for batch in batches:
+        far = [distance(c, tokens(v)) for c, v in zip(batch.column("consensus").to_pylist(), batch.column("value").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("id"), batch.column("value"), batch.column("weight"), pa.array(far, pa.int64()), batch.column("pos")], names=["g", "id", "value", "weight", "far", "pos"])
 
 
 def consensus_representatives(df: DataFrame, group: str, id_col: str, value_col: str, weight: Column | None = None, priority: Sequence[Column] = ()) -> DataFrame:
@@ -119,39 +212,37 @@ def consensus_representatives(df: DataFrame, group: str, id_col: str, value_col:
 
     ``weight`` (default 1 a row) are votes; ``priority`` are columns whose order makes a value outweigh all later ones
     together (smaller first, nulls last; the id decides ties). Equal values of a group are joined, with the smallest id and the sum of weights,
-    unless ``priority`` is given, where the first of them stands for all. Rows with a null group, id or value take no part; a
-    group of none gives no row. Weights that are null or not positive count as 0.
+    unless ``priority`` is given, where the first of them stands for all. Equally close values: the larger weight (the first by priority), then the smaller value.
+    Rows with a null group, id or value take no part; a group of none gives no row. Weights that are null or not positive count as 0.
+    ``weight`` of the result is that of the whole group.
     """
     ranked = bool(priority)
     w = F.coalesce((weight if weight is not None else F.lit(1.0)).cast("double"), F.lit(0.0))
-    pos = F.struct(*(x for i, p in enumerate(priority) for x in (p.isNull().alias(f"n{i}"), p.alias(f"p{i}")))) if ranked else F.lit(0)
+    pos = F.struct(*(x for i, p in enumerate(priority) for x in (p.isNull().cast("int").alias(f"n{i}"), p.alias(f"p{i}")))) if ranked else F.struct(F.lit(0).alias("n0"))
     rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(value_col).alias("value"), F.greatest(w, F.lit(0.0)).alias("weight"), pos.alias("pos"))
     rows = rows.where("g is not null and id is not null and value is not null")
     merged = rows.groupBy("g", "value").agg(F.sum("weight").alias("weight"), F.min(F.struct("pos", "id")).alias("m")).select("g", "m.id", "value", "weight", "m.pos")
-    level = cut(merged)
-    while True:
-        sizes = level.groupBy("g").agg(F.count("*").alias("n"))
-        most = sizes.agg(F.max("n")).first()[0] or 1
-        single, many = sizes.where("n = 1"), sizes.where("n > 1")
-        if most == 1:
-            break
-        chunks = F.ceil(F.col("n") / F.lit(CHUNK))
-        spread = level.join(many, "g").withColumn("c", F.pmod(F.xxhash64("id", "value"), chunks))
-        text = spread.select("g", "c", "id", "value", "weight", _order_key(ranked).alias("pos"), F.col("pos").alias("keep"))
-        schema = text.schema
-        done = text.groupBy("g", "c").applyInArrow(lambda t: _chunk(t, "g", ranked), schema)
-        rest = level.join(single.select("g"), "g", "left_semi")
-        level = cut(rest.select("g", "id", "value", "weight", "pos").unionByName(done.select("g", "id", "value", "weight", F.col("keep").alias("pos"))))
-        if most <= CHUNK:
-            break
-    return level.select(F.col("g").alias(group), F.col("id").alias(id_col), F.col("value").alias(value_col), "weight")
-
-
-def _order_key(ranked: bool) -> Column:
-    """The priority as a number for each row of its chunk; struct order is Spark's, so it is taken here and not in Python."""
-    from pyspark.sql import Window
-
-    return F.row_number().over(Window.partitionBy("g", "c").orderBy("pos", "id")) if ranked else F.lit(0)
+    values = cut(merged)
+    sizes = values.groupBy("g").agg(F.count("*").alias("n"), F.sum("weight").alias("mass"))
+    sizes = cut(sizes.select("g", "mass", F.ceil(F.col("n") / F.lit(CHUNK)).alias("chunks")))
+    spread = values.join(sizes, "g").withColumn("c", F.pmod(F.xxhash64("value"), F.col("chunks")).cast("bigint"))
+    schema = spread.select("g", "c", F.lit("").alias("profile")).schema
+    parts = spread.groupBy("g", "c").applyInArrow(lambda t: _profiled(t, ranked), schema)
+    most = sizes.agg(F.max("chunks")).first()[0] or 1
+    while most > 1:
+        up = cut(parts).withColumn("up", F.floor(F.col("c") / F.lit(CHUNK)))
+        parts = up.groupBy("g", "up").applyInArrow(lambda t: _joined(t, ranked), schema)
+        most = -(-most // CHUNK)
+    kind = schema["g"].dataType.simpleString()
+    won = parts.mapInArrow(lambda it: _winner(it, ranked), f"g {kind}, consensus array<string>")
+    near = won.join(sizes, "g").withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select("g", "c", "consensus", "mass")
+    far = spread.select("g", "c", "id", "value", "weight", "pos").join(near, ["g", "c"])
+    both = far.select("g", "id", "value", F.struct("weight", "mass").alias("weight"), "consensus", "pos")
+    types = dict(both.dtypes)
+    measured = both.mapInArrow(_measured, f"g {kind}, id {types['id']}, value {types['value']}, weight {types['weight']}, far bigint, pos {types['pos']}")
+    order = F.struct("far", "pos", "id") if ranked else F.struct("far", -F.col("weight.weight"), "value", "id")
+    best = measured.groupBy("g").agg(F.min_by(F.struct("id", "value", "weight.mass"), order).alias("b"))
+    return best.select(F.col("g").alias(group), F.col("b.id").alias(id_col), F.col("b.value").alias(value_col), F.col("b.mass").alias("weight"))
 
 
 def valid_date(col: Column, until: str = "2026-06-30") -> Column:

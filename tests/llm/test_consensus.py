@@ -52,3 +52,36 @@ def test_best_records(spark):
     std = spark.createDataFrame(data, "id string, standard_text string, last_verified_date string, source_url string")
     trust = spark.createDataFrame([("t.example", 1), ("other", 2)], "host string, trust_rank int")
     assert rows(consensus.best_records(std, trust), "stem", "text_id", "url_id", "date_id") == [("S.1", "S.1.3333", "S.1.2222", "S.1.3333"), ("S.4", None, None, None)]
+
+
+def test_planted_majority_survives_any_chunking(spark, monkeypatch):
+    base = "each learner measures the length of two objects with the same unit and compares".split()
+    data = [("g", "true", " ".join(base))]
+    for i in range(260):
+        row = list(base)
+        row[i % len(base)] = f"w{i}"
+        if i % 3 == 0:
+            row.insert(i % 7, f"more{i}")
+        if i % 5 == 0:
+            del row[(i + 4) % len(row)]
+        data.append(("g", f"i{i:03}", " ".join(row)))
+    data += [("h", f"h{i}", t) for i, t in enumerate(["a b c d", "a b x d", "a y c d", "z b c d", "a b c", "q"])]
+    df = spark.createDataFrame(data, "grp string, id string, val string")
+    for chunk in (5, 64, 1000):
+        monkeypatch.setattr(consensus, "CHUNK", chunk)
+        assert rows(consensus.consensus_representatives(df, "grp", "id", "val"), "grp", "id") == [("g", "true"), ("h", "h0")]
+
+
+def test_halved_alignment_costs_the_same(monkeypatch):
+    import random
+
+    r = random.Random(7)
+    cost = lambda a, b: sum(i is None or j is None or a[i] != b[j] for i, j in consensus.align(a, b))
+    for _ in range(30):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(40))] for _ in range(2))
+        path = consensus.align(a, b)
+        assert [i for i, _ in path if i is not None] == list(range(len(a))) and [j for _, j in path if j is not None] == list(range(len(b)))
+        whole = cost(a, b)
+        monkeypatch.setattr(consensus, "CELLS", 6)
+        assert cost(a, b) == whole == consensus.distance(a, b)
+        monkeypatch.undo()
