@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The grammar of notes.
 SCORED = r"\[(?:LLM score|exact-match) (\d)/5\]"
 LLM_SCORED = r"\[LLM score (\d)/5\]"
+#: What the crosswalk passes write.
 PLACEHOLDER = ("nlp_pass", "direct_family")
 
 
+MISMATCH = r"MISMATCH:\s*(.+?)\.?\s*$"
+COSINE = r"cosine=([0-9.]+)"
+STRENGTH = r"(?s)\b(hard|soft)\b(?:\s*\[[^\]]*\])?:\s*(.*)$"
+EXPORTED = r"(?s)(?:hard|soft):\s*(.*)$"
+
+
 def _first(col: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(col, pattern, group), F.lit(""))
 
@@ -31,27 +39,27 @@ def is_scored(col: Column) -> Column:
 
 def mismatch(col: Column) -> Column:
     """The text after ``MISMATCH:`` without a final stop; ``unknown`` for a note without one."""
-    return F.coalesce(_first(col, r"MISMATCH:\s*(.+?)\.?\s*$"), F.lit("unknown"))
+    return F.coalesce(_first(col, MISMATCH), F.lit("unknown"))
 
 
 def cosine(col: Column) -> Column:
     """The cosine that a pass wrote into a note."""
-    return _first(col, r"cosine=([0-9.]+)").cast("double")
+    return _first(col, COSINE).cast("double")
 
 
 def strength(col: Column) -> Column:
     """``hard`` or ``soft`` of a prerequisite's note; null for other notes."""
-    return _first(col, r"(?s)\b(hard|soft)\b(?:\s*\[[^\]]*\])?:\s*(.*)$")
+    return _first(col, STRENGTH)
 
 
 def reason(col: Column) -> Column:
     """The reason after the strength, or the whole note without one."""
-    return F.when(strength(col).isNotNull(), F.regexp_extract(col, r"(?s)\b(hard|soft)\b(?:\s*\[[^\]]*\])?:\s*(.*)$", 2)).otherwise(col)
+    return F.when(strength(col).isNotNull(), F.regexp_extract(col, STRENGTH, 2)).otherwise(col)
 
 
 def export_reason(col: Column) -> Column:
     """The reason as the concept map reads it, which misses promoted notes."""
-    return F.trim(F.regexp_extract(col, r"(?s)(?:hard|soft):\s*(.*)$", 1))
+    return F.trim(F.regexp_extract(col, EXPORTED, 1))
 
 
 def score_note(score: Column, rationale: Column, mismatch_text: Column) -> Column:

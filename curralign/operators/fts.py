@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B, CAP, IDF_FLOOR = 1.2, 0.75, 1_000, 1e-6
+#: Letters of a query term.
+PREFIX = 6
 
 
 def query_terms(query: str) -> list[str]:
-    """The first six letters of each word of five or more ASCII letters, in lower case, repeats kept."""
-    return [w[:6].lower() for w in re.findall(r"[A-Za-z]{5,}", query)]
+    """The first ``PREFIX`` letters of each word of five or more ASCII letters, in lower case, repeats kept."""
+    return [w[:PREFIX].lower() for w in re.findall(r"[A-Za-z]{5,}", query)]
 
 
 def tokens(*cols: Column) -> Column:
@@ -26,6 +28,37 @@ def index(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), tokens(*(F.col(c) for c in cols)).alias("words"))
 
 
+def terms_of(query: Column) -> Column:
+    """:func:`query_terms` of a column."""
+    return F.transform(F.regexp_extract_all(query, F.lit("[A-Za-z]{5,}"), 0), lambda w: F.lower(F.substring(w, 1, PREFIX)))
+
+
+def postings(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
+    """The inverted index: ``word, id, tf, len``, how often each word stands in each document and the document's number of words.
+
+    Written once, partitioned or sorted by word, it answers any number of queries; a word's rows are counted in each task before they are shuffled.
+    """
+    words = index(docs, id_col, *cols).select("id", F.size("words").alias("len"), F.explode("words").alias("word"))
+    return words.groupBy("word", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+
+
+def bm25_many(posted: DataFrame, queries: DataFrame) -> DataFrame:
+    """``q, id, score`` of every hit of ``queries`` (``q, query``), scored as in :func:`bm25` and without a cap.
+
+    Only words that share a query's prefix are joined; the sizes of the corpus are one row of sums, the document counts one row a term.
+    """
+    asked = queries.select("q", F.posexplode(terms_of(F.col("query"))).alias("at", "term"))
+    words = posted.where(F.length("word") >= 5).withColumn("key", F.substring("word", 1, 5))
+    terms = asked.select("term").distinct().withColumn("key", F.substring("term", 1, 5))
+    hits = words.join(terms, "key").where(F.col("word").startswith(F.col("term"))).groupBy("term", "id").agg(F.sum("tf").cast("double").alias("tf"), F.first("len").cast("double").alias("len"))
+    df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    sizes = posted.groupBy("id").agg(F.first("len").alias("len")).agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len"))  # one row
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scored = hits.join(df, "term").join(F.broadcast(sizes), F.lit(True)).select("term", "id", part.alias("part"))
+    return asked.join(scored, "term").groupBy("q", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
 def _count(term: str) -> Column:
     """How many words begin with the term."""
     return F.size(F.filter("words", lambda w: w.startswith(term))).cast("double")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the session names in ``spark.checkpoint.dir``; make one only where none is set (tests)."""
+    """Use the folder that the session names in ``spark.checkpoint.dir``; make one only where none is set on a single machine (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
@@ -16,6 +17,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not current.isDefined():
             sc.setCheckpointDir(named)
     elif not current.isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
 
 

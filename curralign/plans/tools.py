@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grades import GRADE_ORDER, bounds, grade_rank, grade_set
+from ..functions.grades import allowed, grade_rank, within, written_bounds
 from ..functions.notes import reason, strength
 from ..functions.text import expand_id, loose_id, stripped_id
 from ..operators import fts
 from ..operators.graph import HARD, learning_path, prefer_validated, prerequisites
-from ..operators.ranking import top_per_group
-from ..operators.vectors import cosine_to, cosine_top_k
+from ..operators.ranking import ranked, top_per_group
+from ..operators.vectors import cosine_to, cosine_top_k, similarity_join
 from .crosswalk import best_any, hub_reverse, precomputed, two_hop
 
 PROGRESSION_FLOOR, PROGRESSION_K = 0.5, 3
@@ -29,9 +29,8 @@ def scoped(standards: DataFrame, hubs: dict[str, str], system: str | None = None
 
 def filtered(standards: DataFrame, grade: object = None, domain: str | None = None) -> DataFrame:
     """Grades by list, range or code, and a domain by a part of its name in any case."""
-    allowed = grade_set(grade)
-    if allowed is not None:
-        standards = standards.where(F.col("grade").isin(*allowed))
+    if grade is not None:
+        standards = standards.where(allowed(F.col("grade"), grade))
     return standards.where(F.lower("domain").contains(domain.lower())) if domain else standards
 
 
@@ -50,30 +49,56 @@ def search_text(standards: DataFrame, query: str, hubs: dict[str, str], system:
     return found.join(inside.select("id", "system", "grade", "domain"), "id").orderBy(F.col("score").desc(), "id").limit(limit)
 
 
+def _bounds(start: object, end: object) -> F.Column:
+    return written_bounds(*(F.lit(None if x is None else str(x)).cast("string") for x in (start, end)))
+
+
 def progression(standards: DataFrame, vectors: DataFrame, query: list[float], system: str, start: object = None, end: object = None) -> DataFrame:
-    """get_progression: ``grade, rank, id, score``, up to three standards of each grade above the floor, grades in order."""
-    lo, hi = bounds(start, end)
-    r = grade_rank(F.col("grade"))
-    rows = standards.where(F.col("system") == system).select("id", "grade").distinct()
-    if lo is not None:
-        rows = rows.where(r >= GRADE_ORDER.index(lo))
-    if hi is not None:
-        rows = rows.where(r <= GRADE_ORDER.index(hi))
+    """get_progression: ``grade, grade_no, id, score``, up to three standards of each grade above the floor, grades in order."""
+    rows = standards.where((F.col("system") == system) & within(F.col("grade"), _bounds(start, end))).select("id", "grade").distinct()
     scored = vectors.join(rows, "id").select("id", "grade", F.round(cosine_to(F.col("vec"), query), 4).alias("score")).where(F.col("score") >= PROGRESSION_FLOOR)
     return top_per_group(scored, ["grade"], [F.col("score").desc(), F.col("id").desc()], PROGRESSION_K).select("grade", grade_rank(F.col("grade")).alias("grade_no"), "id", "score")
 
 
 def progression_text(standards: DataFrame, query: str, system: str, start: object = None, end: object = None, limit: int = 60) -> DataFrame:
     """get_progression by words: the first ``limit`` of the system, three of each grade within the normalised bounds."""
-    lo, hi = bounds(start, end)
     rows = standards.select("id", "system", "grade", "domain", "cluster", "standard_text").distinct()
     found = fts.bm25(fts.index(rows, "id", "standard_text", "domain", "cluster"), fts.query_terms(query)).join(rows.where(F.col("system") == system).select("id", "grade"), "id")
     first = found.orderBy(F.col("score").desc(), "id").limit(limit)
-    r = grade_rank(F.col("grade"))
-    first = first.where(r.between(GRADE_ORDER.index(lo) if lo else 0, GRADE_ORDER.index(hi) if hi else 98))
+    first = first.where(within(F.col("grade"), _bounds(start, end), unknown=False))
     return top_per_group(first, ["grade"], [F.col("score").desc(), F.col("id")], PROGRESSION_K).select("grade", "id", "score")
 
 
+def search_many(rows: DataFrame, asked: DataFrame, limit: int = 5) -> DataFrame:
+    """search_standards for a frame of inputs (``q, vec, scope``): ``q, id, score, rank_no``, the ``limit`` most similar standards
+    (``id, vec, scope``) of each input's scope, equal scores by larger id. One blocked join answers all inputs."""
+    left = asked.select(F.col("q").cast("string").alias("id"), "vec", F.lit(0).alias("rank"), "scope")
+    right = rows.select("id", "vec", F.lit(0).alias("rank"), "scope")
+    found = similarity_join(left, right, "scope", -1.0, (), None, limit, ties=-1)
+    best = ranked(found, ["a"], [F.col("cosine").desc(), F.col("b").desc()], "rank_no").where(F.col("rank_no") <= limit)
+    return best.select(F.col("a").alias("q"), F.col("b").alias("id"), F.col("cosine").alias("score"), "rank_no")
+
+
+def progression_many(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """get_progression for a frame of inputs (``q, vec, scope, start, end``): ``q, grade, id, score``, of each grade within an input's bounds
+    the three most similar standards (``id, vec, scope, grade``) above the floor."""
+    left = asked.select(F.col("q").cast("string").alias("id"), "vec", F.lit(0).alias("rank"), "scope", F.lit("").alias("grade"))
+    right = rows.select("id", "vec", F.lit(0).alias("rank"), "scope", "grade")
+    found = similarity_join(left, right, "scope", PROGRESSION_FLOOR, ("grade",), None).select(F.col("a").alias("q"), F.col("b_grade").alias("grade"), F.col("b").alias("id"), F.col("cosine").alias("score"))
+    bounds = asked.select(F.col("q").cast("string").alias("q"), written_bounds(F.col("start"), F.col("end")).alias("bounds"))
+    inside = found.join(bounds, "q").where(within(F.col("grade"), F.col("bounds"), unknown=False))
+    return top_per_group(inside, ["q", "grade"], [F.col("score").desc(), F.col("id").desc()], PROGRESSION_K).select("q", "grade", "id", "score")
+
+
+def search_text_many(standards: DataFrame, asked: DataFrame, limit: int = 5) -> DataFrame:
+    """search_standards by words for a frame of inputs (``q, query, system``): ``q, id, score, rank_no``. Each input ranks the whole of
+    its system, without the cap of the single form."""
+    rows = standards.select("id", "system", "domain", "cluster", "standard_text").distinct()
+    found = fts.bm25_many(fts.postings(rows, "id", "standard_text", "domain", "cluster"), asked.select("q", "query"))
+    inside = found.join(rows.select("id", "system"), "id").join(asked.select("q", "system"), ["q", "system"])
+    return ranked(inside, ["q"], [F.col("score").desc(), F.col("id")], "rank_no").where(F.col("rank_no") <= limit).select("q", "id", "score", "rank_no")
+
+
 def resolve_ids(standards: DataFrame, inputs: DataFrame, system: str | None = None) -> DataFrame:
     """``input, id``: what each input names: exactly, in another letter case, without marks at its ends, or without a cluster letter;
     the earlier of these wins, then the smaller id. Inputs that name nothing give no row."""
@@ -134,8 +159,6 @@ def map_standards(crosswalks: DataFrame, vectors: DataFrame, standards: DataFram
         return df.withColumnRenamed(system, "to_system") if system != "to_system" else df
 
     cols = ["source_id", "to_system", "strategy", "target_id", "score", "rank_no"]
-    from ..operators.ranking import ranked
-
     one = of(precomputed(crosswalks, threshold, include_flagged), "target_system").join(want, ["source_id", "to_system"], "left_semi").select("source_id", "to_system", F.lit("precomputed").alias("strategy"), "target_id", F.col("confidence_score").alias("score"), "rank_no")
     rest = want.join(one.select("source_id", "to_system").distinct(), ["source_id", "to_system"], "left_anti")
     two = of(best_any(crosswalks), "target_system").join(rest, ["source_id", "to_system"], "left_semi").select("source_id", "to_system", F.lit("below_threshold").alias("strategy"), "target_id", F.col("confidence_score").alias("score"), F.lit(1).alias("rank_no"))
@@ -149,9 +172,6 @@ def map_standards(crosswalks: DataFrame, vectors: DataFrame, standards: DataFram
 
 def nearest_in_system(vectors: DataFrame, standards: DataFrame, inputs: DataFrame, k: int = FALLBACK_K, floor: float = FALLBACK_FLOOR) -> DataFrame:
     """``source_id, to_system, target_id, score, rank_no``: of each input the ``k`` nearest standards of a system, above the floor."""
-    from ..operators.ranking import ranked
-    from ..operators.vectors import similarity_join
-
     systems = standards.select("id", "system").distinct()
     left = inputs.join(vectors.select(F.col("id").alias("source_id"), "vec"), "source_id").select(F.col("source_id").alias("id"), "vec", F.lit(0).alias("rank"), F.col("to_system").alias("scope"))
     right = vectors.join(systems, "id").select("id", "vec", F.lit(0).alias("rank"), F.col("system").alias("scope"))

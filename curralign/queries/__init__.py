@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, graph, maintain, relational, similarity, text, tools, ingest  # isort: skip
+from . import audits, graph, maintain, relational, similarity, text, tools, ingest, whole  # isort: skip
 from .registry import ALL
 
-__all__ = ["audits", "graph", "ingest", "maintain", "oracle_sql", "queries", "relational", "similarity", "text", "tools"]
+__all__ = ["audits", "graph", "ingest", "maintain", "oracle_sql", "queries", "relational", "similarity", "text", "tools", "whole"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,14 +10,6 @@ from ..operators import graph
 from .registry import C, E, Tables, query, rank_sql, with_
 
 _P = "p AS (SELECT DISTINCT source_id AS src, target_id AS dst FROM e WHERE relationship = 'prerequisite' AND confidence_score >= 0.9 AND NOT isnan(confidence_score) AND source_id IS NOT NULL AND target_id IS NOT NULL)"
-_T = "t AS (SELECT DISTINCT src AS root FROM p WHERE src IN (SELECT id FROM standards) ORDER BY root LIMIT 40)"
-_REACH = "w(root, node, d) AS (SELECT root, root, 0 FROM t UNION SELECT w.root, p.dst, d + 1 FROM w JOIN p ON p.src = w.node WHERE d < 6), seen AS (SELECT root, node, min(d)::INTEGER AS depth FROM w GROUP BY ALL)"
-
-
-def _targets(t: Tables) -> DataFrame:
-    """The forty smallest ids with prerequisites: the sample that the recursive SQL can be compared on. The ``_all`` queries have every root."""
-    return _roots(t, graph.prerequisites(t.edges())).orderBy("root").limit(40)
-
 
 def _roots(t: Tables, edges: DataFrame) -> DataFrame:
     """``root``: every standard with an outgoing edge."""
@@ -55,37 +47,6 @@ def gr_rationales(spark, root) -> DataFrame:
     return e.select("id", F.coalesce(strength(F.col("notes")), F.when(s >= graph.HARD, "hard").when(s.isNotNull(), "soft")).alias("strength"), reason(F.col("notes")).alias("why"))
 
 
-@query("WITH RECURSIVE " + ", ".join((E, _P, _T, _REACH)) + " SELECT root, node, depth FROM seen")
-def gr_closure(spark, root) -> DataFrame:
-    t = Tables(spark, root)
-    return graph.reachable(graph.prerequisites(t.edges()), _targets(t), 6)
-
-
-@query(
-    "WITH RECURSIVE " + ", ".join((E, _P, _T, _REACH))
-    + f" SELECT s.root, row_number() OVER (PARTITION BY s.root ORDER BY {rank_sql('g.grade')}, node) AS step, node AS id, g.grade, depth FROM seen s JOIN (SELECT id, min(grade) AS grade FROM standards GROUP BY id) g ON g.id = node"
-)
-def gr_path(spark, root) -> DataFrame:
-    t = Tables(spark, root)
-    p = graph.learning_path(graph.prerequisites(t.edges()), t.standards("id", "grade"), _targets(t), max_depth=6)
-    return p.select("root", F.col("step").cast("long").alias("step"), "id", "grade", "depth")
-
-
-@query()
-def gr_closure_all(spark, root) -> DataFrame:
-    t = Tables(spark, root)
-    p = graph.prerequisites(t.edges())
-    return graph.reachable(p, _roots(t, p))
-
-
-@query()
-def gr_path_all(spark, root) -> DataFrame:
-    t = Tables(spark, root)
-    edges = graph.prerequisites(t.edges())
-    p = graph.learning_path(edges, t.standards("id", "grade"), _roots(t, edges))
-    return p.select("root", F.col("step").cast("long").alias("step"), "id", "grade", "depth")
-
-
 @query("WITH RECURSIVE " + ", ".join((E, _P, "w(node, ancestor) AS (SELECT src, dst FROM p WHERE src <> dst UNION SELECT w.node, p.dst FROM w JOIN p ON p.src = w.ancestor WHERE p.src <> p.dst)")) + " SELECT DISTINCT node, ancestor FROM w WHERE node <> ancestor")
 def gr_transitive(spark, root) -> DataFrame:
     return graph.all_pairs_closure(graph.prerequisites(Tables(spark, root).edges()))

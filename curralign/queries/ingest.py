@@ -13,31 +13,15 @@ from ..operators.lineage import ensure_checkpoint_dir
 from ..plans import maintain, tools
 from ..sources import hierarchy, sinks
 from ..streaming import incremental
-from .graph import _P, _REACH, _T, _roots, _targets
-from .registry import HUB, C, E, S, Tables, U, V, also, query, with_
+from .registry import HUB, C, E, S, Tables, U, V, query, with_
 from .similarity import _R, _SP, _SQ, _cos, standard_probe
 
-for name, of in {
-    "jn_cross_family": "vec_crosswalk_family", "jn_theta_window": "vec_prereq_cand", "jn_theta_upper": "vec_near_dup", "dq_near_dupes": "vec_near_dup", "jn_adjacent_grade": "gr_relate",
-    "topk_prereq": "vec_prereq_cand", "topk_per_grade": "tool_progression", "vec_progression": "tool_progression", "agg_collisions": "dq_collisions", "agg_band_pct": "dq_bands",
-    "fts_scope": "tool_fts_search", "smp_random": "win_topn_sample", "limit_worst": "dq_gap", "txt_mismatch": "txt_quality", "src_html_text": "txt_html", "src_attach": "snk_insert_select",
-    "snk_update_from": "mt_merge", "fn_substr_int": "fn_bool", "fn_product": "jn_two_hop", "map_hubvol": "agg_hub_nested", "txt_norm_bounds": "tool_progression", "txt_grade_filter": "flt_grade_set",
-    "set_union_py": "set_union_distinct",
-}.items():
-    also(name, of)
-
-
 def scratch(spark) -> str:
     """A new folder beside the checkpoints, which all executors share."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
-@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
-def src_rest_json(spark, root) -> DataFrame:
-    return Tables(spark, root).raw("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
 @query("SELECT (event_id // 100)::BIGINT AS page, (row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id) - 1)::INTEGER AS at, event_id FROM events")
 def src_rest_paged(spark, root) -> DataFrame:
     e = Tables(spark, root).raw("events").select(F.floor(F.col("event_id") / 100).alias("page"), "event_id")
@@ -83,28 +67,12 @@ def src_hier_auto(spark, root) -> DataFrame:
     return hierarchy.flatten_tree(_nodes(Tables(spark, root))).select("set_id", "id", "domain", "cluster")
 
 
-@query(_TREE)
-def src_hier_ccss(spark, root) -> DataFrame:
-    return hierarchy.fixed_roles(_nodes(Tables(spark, root)))[0].select("set_id", "id", "domain", "cluster")
-
-
 @query("SELECT DISTINCT id, CASE WHEN regexp_matches(replace(id, '.', '-'), '(?:^|-)PS') THEN 'Physical' WHEN regexp_matches(replace(id, '.', '-'), '(?:^|-)LS') THEN 'Life' ELSE 'Science' END AS domain FROM standards WHERE contains(id, '.SCI.')")
 def src_hier_regex(spark, root) -> DataFrame:
     s = Tables(spark, root).standards("id").select("id", F.replace("id", F.lit("."), F.lit("-")).alias("notation"))
     return hierarchy.coded_rows(s, "-SCI-", [("PS", "Physical"), ("LS", "Life")], "Science").select("id", "domain")
 
 
-also("txt_ngss_domain", "src_hier_regex")
-
-
-@query(with_(U) + "SELECT DISTINCT parent_id, id AS anchor, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM u WHERE parent_id IS NOT NULL AND trim(text) <> '' AND NOT contains(text, '&') AND NOT contains(text, '<')")
-def src_html_anchor(spark, root) -> DataFrame:
-    u = Tables(spark, root).subs("parent_id", "id", "text").where("parent_id is not null and trim(text) <> '' and not contains(text, '&') and not contains(text, '<')")
-    part = F.concat(F.lit('<a name="'), F.col("id"), F.lit('"></a>'), F.col("text"))
-    page = u.groupBy("parent_id").agg(F.array_join(F.array_sort(F.collect_list(part)), "<br>").alias("html"))
-    return page.select("parent_id", F.explode(text.html_anchors(F.col("html"))).alias("a")).select("parent_id", "a.anchor", "a.text")
-
-
 @query("SELECT doc_id::VARCHAR AS id, length(text)::BIGINT AS n FROM documents WHERE text IS NOT NULL")
 def src_llm_extract(spark, root) -> DataFrame:
     """The service is a rule that counts characters: no model is called."""
@@ -112,39 +80,11 @@ def src_llm_extract(spark, root) -> DataFrame:
     return hierarchy.extracted_rows(d, lambda texts: [f'```json\n[{{"n": {len(t)}}}]\n```' for t in texts], "n bigint").select("id", "n")
 
 
-@query(with_(S) + "SELECT DISTINCT id, 64 AS dims FROM s WHERE id NOT IN (SELECT standard_id FROM standard_embeddings WHERE standard_id IS NOT NULL)")
-def vec_embed_inc(spark, root) -> DataFrame:
-    """Vectors for standards that have none, from hashed trigrams in place of a model."""
-    t = Tables(spark, root)
-    pending = t.raw("standards").groupBy("id").agg(F.min("standard_text").alias("text")).join(t.raw("standard_embeddings").select(F.col("standard_id").alias("id")), "id", "left_anti")
-    return hierarchy.embedded(pending, hierarchy.hashed_ngrams(64)).select("id", F.size("vec").alias("dims"))
-
-
-also("vec_embed", "vec_embed_inc")
-
-
 @query("SELECT system, max(try_strptime(last_verified_date, '%Y-%m-%d'))::DATE AS last FROM standards GROUP BY system HAVING max(try_strptime(last_verified_date, '%Y-%m-%d')) > DATE '2026-06-24'")
 def src_fresh_gate(spark, root) -> DataFrame:
     return incremental.fresh_systems(Tables(spark, root).raw("standards"), "2026-06-30")
 
 
-@query(with_("l AS (SELECT target_id || '|' || prereq_id AS key, CASE WHEN same_grade THEN 'HARD' ELSE 'SOFT' END AS label FROM prereq_gold_sample WHERE target_id IS NOT NULL AND prereq_id IS NOT NULL)") + "SELECT DISTINCT key, label FROM l WHERE label IS NOT NULL")
-def src_jsonl(spark, root) -> DataFrame:
-    g = Tables(spark, root).raw("prereq_gold_sample").where("target_id is not null and prereq_id is not null")
-    path = scratch(spark)
-    label = F.when(F.col("same_grade"), "HARD").otherwise("SOFT")
-    g.select(F.concat_ws("|", "target_id", "prereq_id").alias("key"), label.alias("label"), F.lit("x").alias("reason")).distinct().coalesce(1).write.json(path)
-    return hierarchy.last_labels(spark, path).select("key", "label")
-
-
-@query("SELECT id, system FROM retired_standards")
-def src_json_file(spark, root) -> DataFrame:
-    path = scratch(spark)
-    rows = Tables(spark, root).raw("retired_standards").select("id", "system")
-    rows.groupBy("system").agg(F.to_json(F.collect_list(F.struct("id", "system"))).alias("value")).write.partitionBy("system").text(path)  # one document a file
-    return hierarchy.json_documents(spark, path, "id string, system string").select("id", "system")
-
-
 @query(with_(C) + "SELECT id, source_id, target_id FROM c WHERE flagged_for_review = 1 AND source_id IS NOT NULL AND trim(target_id) <> ''")
 def snk_csv(spark, root) -> DataFrame:
     path = scratch(spark)
@@ -158,22 +98,6 @@ def snk_json(spark, root) -> DataFrame:
     return Tables(spark, root).mappings("flagged_for_review").select("id", F.to_json(F.struct("id", F.col("flagged_for_review").alias("flagged"))).alias("json"))
 
 
-also("fn_json_out", "snk_json")
-
-
-@query("SELECT count(*)::BIGINT AS lines FROM (SELECT DISTINCT * FROM sub_standards)")
-def snk_jsonl_hash(spark, root) -> DataFrame:
-    return sinks.write_json_lines(Tables(spark, root).subs(), scratch(spark)).agg(F.sum("lines").cast("bigint").alias("lines"))
-
-
-@query("SELECT 'standards' AS name, count(*) AS n FROM (SELECT DISTINCT * FROM standards) UNION ALL SELECT 'sub_standards', count(*) FROM (SELECT DISTINCT * FROM sub_standards) UNION ALL SELECT 'crosswalk_mappings', count(DISTINCT id) FROM crosswalk_mappings")
-def snk_manifest(spark, root) -> DataFrame:
-    t = Tables(spark, root)
-    parts = [("standards", t.standards()), ("sub_standards", t.subs()), ("crosswalk_mappings", t.raw("crosswalk_mappings").select("id").distinct())]
-    frames = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in parts]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
-
-
 @query("SELECT DISTINCT id, system FROM standards")
 def snk_checkpoint(spark, root) -> DataFrame:
     path, s = scratch(spark), Tables(spark, root).standards("id", "system")
@@ -202,9 +126,6 @@ def snk_upsert_edges(spark, root) -> DataFrame:
     return upsert.merge_rows(old, new, k, {})
 
 
-also("mt_edge_merge", "snk_upsert_edges")
-
-
 @query("SELECT DISTINCT id FROM standards a WHERE system = 'valm-core' AND NOT EXISTS (SELECT 1 FROM standards b WHERE b.system = 'dorn-state' AND b.grade = a.grade AND b.standard_text = a.standard_text)")
 def snk_skip_exists(spark, root) -> DataFrame:
     s = Tables(spark, root).standards("id", "system", "grade", "standard_text")
@@ -243,56 +164,12 @@ def txt_range_split(spark, root) -> DataFrame:
     return Tables(spark, root).standards("grade_band").where("grade_band is not null").select("grade_band", F.get(ends, F.lit(0)).alias("lo"), F.get(ends, F.lit(1)).alias("hi"))
 
 
-_MORE = ", ".join(f"'{w}'" for w in (*text.STOP_WORDS, "science", "including"))
-
-
-@query(
-    with_(S, f"w AS (SELECT id, list_filter(regexp_extract_all(lower(standard_text), '\\b[a-zA-Z][a-zA-Z-]{{3,}}\\b'), lambda x: NOT list_contains([{_MORE}], x)) AS ws FROM s WHERE regexp_matches(standard_text, '^[\\x00-\\x7F]*$'))")
-    + "SELECT DISTINCT id, least(len(list_distinct(ws)), 20)::INTEGER AS n FROM w"
-)
-def txt_stop_variants(spark, root) -> DataFrame:
-    s = Tables(spark, root).standards("id", "standard_text").where(F.col("standard_text").rlike(r"^[\x00-\x7F]*$"))
-    return s.select("id", F.size(text.keywords(F.col("standard_text"), (*text.STOP_WORDS, "science", "including"))).alias("n")).distinct()
-
-
-@query("SELECT 'CAMBRIDGE.MATH.' || n::VARCHAR || '.A' AS id, CASE WHEN n = 1 THEN 'K' WHEN n <= 6 THEN (n - 1)::VARCHAR ELSE 'x' END AS grade FROM range(1, 9) r(n)")
-def txt_stage_regrade(spark, root) -> DataFrame:
-    ids = spark.range(1, 9).select(F.concat(F.lit("CAMBRIDGE.MATH."), F.col("id").cast("string"), F.lit(".A")).alias("id"))
-    return ids.select("id", text.stage_grade(F.col("id"), F.lit("x")).alias("grade"))
-
-
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, 'Aims and Outcomes', ''), '^[ \\t\\n\\r\\f\\x0B]*[0-9]{1,4}[ \\t\\n\\r\\f\\x0B]+', ''), '[ \\t\\n\\r\\f\\x0B]+[0-9]{1,4}[ \\t\\n\\r\\f\\x0B]*$', '')) AS t FROM documents WHERE text IS NOT NULL AND lang = 'en'")
-def txt_page_header(spark, root) -> DataFrame:
-    return Tables(spark, root).raw("documents").where("text is not null and lang = 'en'").select("doc_id", text.page_header(F.col("text"), ["Aims and Outcomes"]).alias("t"))
-
-
 @query("SELECT DISTINCT domain, CASE domain WHEN 'READING LITERATURE' THEN 'Reading Literature' WHEN 'STATISTICS' THEN 'Statistics' ELSE domain END AS canon FROM standards")
 def txt_canon_case(spark, root) -> DataFrame:
     fixed = F.create_map(*(F.lit(x) for x in ("READING LITERATURE", "Reading Literature", "STATISTICS", "Statistics")))
     return Tables(spark, root).standards("domain").select("domain", F.coalesce(F.try_element_at(fixed, F.coalesce("domain", F.lit(""))), "domain").alias("canon"))
 
 
-@query()
-def txt_reversed(spark, root) -> DataFrame:
-    u = Tables(spark, root).subs("id", "text").where("text is not null")
-    back = F.concat(F.lit("eht dna fo "), F.array_join(F.transform(F.split("text", " "), lambda w: F.reverse(w)), " "))
-    return u.select("id", text.unreversed(back).alias("text"))
-
-
-@query(with_(U, "x AS (SELECT DISTINCT id, text FROM u WHERE length(trim(text)) > 40 AND NOT regexp_matches(text, '[A-Z]{4}[.]') AND NOT contains(text, chr(10)) AND NOT contains(text, chr(13)))") + "SELECT id, id AS code, trim(text) AS text FROM x")
-def txt_code_split(spark, root) -> DataFrame:
-    u = Tables(spark, root).subs("id", "text").where(r"length(trim(text)) > 40 and not text rlike '[A-Z]{4}[.]' and not contains(text, '\n') and not contains(text, '\r')")
-    found = text.coded_items(F.concat_ws(" ", "id", "text"), r"[A-Z]{4}[.][^ ]+")
-    return u.select("id", F.explode(found).alias("c")).select("id", "c.code", "c.text")
-
-
-@query("SELECT n::INTEGER AS n FROM range(1, 40) r(n)")
-def txt_roman(spark, root) -> DataFrame:
-    tens, ones = F.array(*(F.lit(x) for x in ("", "X", "XX", "XXX"))), F.array(*(F.lit(x) for x in ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")))
-    numerals = spark.range(1, 40).select(F.concat(F.get(tens, F.floor(F.col("id") / 10).cast("int")), F.get(ones, (F.col("id") % 10).cast("int"))).alias("r"))
-    return numerals.select(text.roman_value(F.col("r")).alias("n"))
-
-
 @query("SELECT event_id, '[' || event_id::VARCHAR || ']' AS body FROM events")
 def txt_fence(spark, root) -> DataFrame:
     e = Tables(spark, root).raw("events")
@@ -304,66 +181,6 @@ def txt_mojibake(spark, root) -> DataFrame:
     return Tables(spark, root).standards("id", "standard_text").select("id", text.without_replacement_char(F.col("standard_text")).alias("t")).distinct()
 
 
-@query()
-def fn_synthetic_id(spark, root) -> DataFrame:
-    return Tables(spark, root).standards("id", "standard_text").select("id", text.synthetic_id(F.col("standard_text")).alias("n"))
-
-
-@query("SELECT count(*) AS n, bool_and(created_at < now()::TIMESTAMP) AS past FROM (SELECT DISTINCT id, created_at FROM standards)")
-def fn_now(spark, root) -> DataFrame:
-    return Tables(spark, root).standards("id", "created_at").agg(F.count("*").alias("n"), F.bool_and(F.col("created_at") < F.current_timestamp()).alias("past"))
-
-
-@query("SELECT * FROM (VALUES ('fracti'), ('measur'), ('volume')) t(term)")
-def fts_query(spark, root) -> DataFrame:
-    from ..operators.fts import query_terms
-
-    return spark.range(1).select(F.explode(F.array(*(F.lit(t) for t in query_terms("fractions, measure a volume")))).alias("term"))
-
-
-_FWD = _REACH.replace("w JOIN p ON p.src = w.node", "w JOIN p ON p.dst = w.node").replace("w.root, p.dst", "w.root, p.src")
-_T2 = _T.replace("SELECT DISTINCT src AS root FROM p WHERE src", "SELECT DISTINCT dst AS root FROM p WHERE dst")
-
-
-@query("WITH RECURSIVE " + ", ".join((E, _P, _T2, _FWD)) + " SELECT root, node, depth FROM seen")
-def gr_forward(spark, root) -> DataFrame:
-    t = Tables(spark, root)
-    ahead = graph.prerequisites(t.edges()).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    starts = ahead.join(t.raw("standards").select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("root")).distinct().orderBy("root").limit(40)
-    return graph.reachable(ahead, starts, 6)
-
-
-@query()
-def gr_forward_all(spark, root) -> DataFrame:
-    t = Tables(spark, root)
-    ahead = graph.prerequisites(t.edges()).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.reachable(ahead, _roots(t, ahead))
-
-
-@query()
-def gr_prune(spark, root) -> DataFrame:
-    t = Tables(spark, root)
-    p = graph.prerequisites(t.edges())
-    targets = _roots(t, p)
-    far = graph.reachable(p, targets)
-    start = far.where("depth > 0").groupBy("root").agg(F.max_by("node", F.struct("depth", "node")).alias("start"))
-    out = graph.learning_path(p, t.standards("id", "grade"), targets, start)
-    return out.select("root", "step", "id", F.array_join("prerequisites", ",").alias("prerequisites"))
-
-
-@query("WITH RECURSIVE " + ", ".join((E, _P, _T, _REACH)) + " SELECT s.root, count(*) AS steps, CASE WHEN count(*) = 1 THEN 'no prerequisites recorded' ELSE 'ordered by grade' END AS note FROM seen s WHERE node IN (SELECT id FROM standards) GROUP BY s.root")
-def gr_path_notes(spark, root) -> DataFrame:
-    t = Tables(spark, root)
-    return tools.path_notes(graph.learning_path(graph.prerequisites(t.edges()), t.standards("id", "grade"), _targets(t), max_depth=6))
-
-
-@query("SELECT DISTINCT id, NULL::VARCHAR AS reviewer FROM retired_standards")
-def mt_schema_migrate(spark, root) -> DataFrame:
-    r = Tables(spark, root).raw("retired_standards").select("id")
-    once = upsert.with_missing_columns(r, {"reviewer": "string"})
-    return upsert.with_missing_columns(once, {"reviewer": "string"})
-
-
 @query(with_("g AS (SELECT DISTINCT target_id, prereq_id, cosine FROM prereq_gold_sample)", "s AS (SELECT id, min(grade) AS grade FROM standards GROUP BY id)") + "SELECT replace(target_id, '.MATH', '') AS short, prereq_id, s.grade FROM g JOIN s ON s.id = g.target_id")
 def mt_gold_sample(spark, root) -> DataFrame:
     t = Tables(spark, root)
@@ -393,8 +210,3 @@ def dq_empty(spark, root) -> DataFrame:
     return Tables(spark, root).standards().where("standard_text is null or trim(standard_text) = ''").select("id")
 
 
-@query()
-def gr_path_notes_all(spark, root) -> DataFrame:
-    t = Tables(spark, root)
-    p = graph.prerequisites(t.edges())
-    return tools.path_notes(graph.learning_path(p, t.standards("id", "grade"), _roots(t, p)))

@@ -165,21 +165,3 @@ def mt_prereq_gate(spark, root) -> DataFrame:
     return maintain.gate(gold, predicted).select("rows", F.round("binary", 6).alias("binary"), F.round("exact", 6).alias("exact"), "traps")
 
 
-@query(
-    with_(C, "b AS (SELECT source_id, target_id, any_value(notes) AS notes FROM (SELECT source_id, target_id, notes, row_number() OVER (PARTITION BY source_id, target_id ORDER BY id) AS r FROM c WHERE source_id IS NOT NULL AND target_id IS NOT NULL) WHERE r = 1 GROUP BY ALL)")
-    + "SELECT source_id, target_id, CASE WHEN regexp_matches(notes, '\\[(?:LLM score|exact-match) (\\d)/5\\]') THEN notes ELSE 'nlp_pass cosine=0.9999' END AS notes FROM b"
-)
-def snk_upsert_crosswalk(spark, root) -> DataFrame:
-    from ..operators.ranking import top_per_group
-
-    c = Tables(spark, root).mappings("source_id", "target_id", "notes").where("source_id is not null and target_id is not null")
-    base = top_per_group(c, ["source_id", "target_id"], [F.col("id")], 1).select("source_id", "target_id", "notes")
-    return cw.upsert_mappings(base, base.withColumn("notes", F.lit("nlp_pass cosine=0.9999")))
-
-
-@query(with_(S) + "SELECT g.grade || '.' || p::VARCHAR AS id, g.grade FROM (VALUES ('K'),('1'),('2'),('3'),('4'),('5'),('6'),('7'),('8'),('HS')) g(grade), range(1, 9) r(p)")
-def mt_mp_expand(spark, root) -> DataFrame:
-    from ..functions.grades import GRADE_ORDER
-
-    base = spark.range(1, 9).select(F.explode(F.array(*(F.lit(g) for g in GRADE_ORDER))).alias("grade"), F.col("id").alias("p"))
-    return base.select(F.concat(F.col("grade"), F.lit("."), F.col("p").cast("string")).alias("id"), "grade")

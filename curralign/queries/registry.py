@@ -30,11 +30,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def also(name: str, of: str) -> None:
-    """Another operator that the query ``of`` exercises: the same plan under its own name."""
-    ALL[name] = ALL[of]
-
-
 class Tables:
     """The curriculum tables under a root, each row once, of restated mappings the latest."""
 

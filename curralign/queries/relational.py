@@ -164,12 +164,6 @@ def prj_coalesce(spark, root) -> DataFrame:
     return Tables(spark, root).mappings("notes").select("id", F.coalesce("notes", F.lit("none")).alias("notes"))
 
 
-@query(with_(C) + f"SELECT id, round(confidence_score, 2) AS score FROM c WHERE {OK_SCORE} AND abs(confidence_score * 1000 - floor(confidence_score * 1000) - 0.5) > 0.4")
-def prj_round(spark, root) -> DataFrame:
-    c = F.col("confidence_score")
-    return Tables(spark, root).mappings("confidence_score").where(c.isNotNull() & ~F.isnan(c) & (F.abs(c * 1000 - F.floor(c * 1000) - 0.5) > 0.4)).select("id", F.round(c, 2).alias("score"))
-
-
 @query(with_(S) + "SELECT id, system || chr(31) || grade || chr(31) || upper(domain) AS k FROM s")
 def prj_concat_key(spark, root) -> DataFrame:
     return Tables(spark, root).standards("id", "system", "grade", "domain").select("id", F.concat(F.col("system"), F.lit("\x1f"), F.col("grade"), F.lit("\x1f"), F.upper("domain")).alias("k"))
@@ -610,12 +604,6 @@ def snk_replace(spark, root) -> DataFrame:
     return upsert.replace_rows(base, new.select(*base.columns), ["id"])
 
 
-@query(with_(E) + "SELECT source_id, target_id, relationship, min(id) AS id FROM e WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY ALL")
-def snk_ignore(spark, root) -> DataFrame:
-    e = Tables(spark, root).edges("source_id", "target_id", "relationship", "id").where("source_id is not null and target_id is not null")
-    return upsert.insert_missing(e.limit(0), e, ["source_id", "target_id", "relationship"])
-
-
 @query(with_(S) + "SELECT id, system FROM s WHERE NOT (system = 'heim-plan' AND subject = 'cs')")
 def snk_delete_scope(spark, root) -> DataFrame:
     s = Tables(spark, root).standards("id", "system", "subject")

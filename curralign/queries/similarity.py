@@ -46,9 +46,9 @@ def vec_cos_topk(spark, root) -> DataFrame:
     return vec.cosine_top_k(t.vectors().join(ids, "id", "left_semi"), standard_probe(t), 20)
 
 
-@query(with_(_Q) + f"SELECT vec_id, {_cos('list_transform(embedding, lambda x: x::DOUBLE)', 'qv')} AS score FROM embeddings, q WHERE label = 3")
+@query(with_(_Q) + f"SELECT vec_id, {_cos('list_transform(embedding, lambda x: x::DOUBLE)', 'qv')} AS score FROM embeddings, q")
 def vec_norm(spark, root) -> DataFrame:
-    e = Tables(spark, root).raw("embeddings").where("label = 3")
+    e = Tables(spark, root).raw("embeddings")
     q = probe(spark, root)
     n = vec.normalised(F.col("embedding"))
     unit = [x / sum(y * y for y in q) ** 0.5 for x in q]

@@ -10,16 +10,6 @@ from ..operators import fts
 from .registry import C, E, S, Tables, U, query, rank_sql, with_, year_sql
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-_ASCII = "regexp_matches(standard_text, '^[\\x00-\\x7F]*$')"
-
-
-@query(
-    with_(S, f"w AS (SELECT id, list_filter(regexp_extract_all(lower(standard_text), '\\b[a-zA-Z][a-zA-Z-]{{3,}}\\b'), lambda x: NOT list_contains([{_STOP}], x)) AS ws FROM s WHERE {_ASCII})", "k AS (SELECT id, unnest(ws) AS keyword, unnest(range(len(ws))) AS p FROM w)", "f AS (SELECT id, keyword, min(p) AS p FROM k GROUP BY ALL)")
-    + "SELECT id, keyword FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS r FROM f) WHERE r <= 20"
-)
-def txt_keywords(spark, root) -> DataFrame:
-    s = Tables(spark, root).standards().where(F.col("standard_text").rlike(r"^[\x00-\x7F]*$"))
-    return s.select("id", "system", "grade", "last_verified_date", F.explode(text.keywords(F.col("standard_text"))).alias("keyword")).select("id", "keyword")
 
 
 @query(with_(S) + "SELECT DISTINCT id, regexp_replace(upper(id), '[.][A-Z]([.][0-9])', '\\1', 'g') AS loose FROM s")
@@ -99,17 +89,6 @@ def txt_norm_re(spark, root) -> DataFrame:
     return s.select("id", F.md5(F.concat_ws("|", text.plain_text(F.col("standard_text")), "grade")).alias("k"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(replace(replace(regexp_replace('<p>' || text || '</p><script>x</script>', '<[^>]*>', ' ', 'g'), 'x ', ' '), '&amp;', '&'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS t FROM documents WHERE lang = 'zh' AND text IS NOT NULL AND NOT contains(text, 'x') AND NOT contains(text, '<') AND NOT contains(text, '&')")
-def txt_html(spark, root) -> DataFrame:
-    d = Tables(spark, root).raw("documents").where("lang = 'zh' and text is not null and not contains(text, 'x') and not contains(text, '<') and not contains(text, '&')")
-    return d.select("doc_id", text.html_text(F.concat(F.lit("<p>"), F.col("text"), F.lit("</p><script>x</script>"))).alias("t"))
-
-
-@query("SELECT doc_id, len(list_filter(string_split(text, '•'), lambda x: trim(x) <> ''))::INTEGER AS n FROM documents WHERE text IS NOT NULL")
-def txt_bullets(spark, root) -> DataFrame:
-    return Tables(spark, root).raw("documents").where("text is not null").select("doc_id", F.size(text.bullets(F.col("text"))).alias("n"))
-
-
 @query(with_(S) + "SELECT id, regexp_extract(id, '^([A-Z]+)[.]([A-Z]+)[.]', 2) AS area, lpad(coalesce(try_cast(nullif(regexp_extract(id, '[.]([0-9]+)[.]', 1), '') AS INTEGER), 0)::VARCHAR, 2, '0') AS band FROM s")
 def txt_code_parse(spark, root) -> DataFrame:
     i = F.col("id")
@@ -160,7 +139,3 @@ def fts_rank(spark, root) -> DataFrame:
     return fts.bm25(fts.index(rows, "id", "standard_text", "domain", "cluster"), _TERMS)
 
 
-@query(with_(_WORDS) + "SELECT id, len(ws)::INTEGER AS n FROM d")
-def fts_index(spark, root) -> DataFrame:
-    rows = Tables(spark, root).standards("id", "system", "subject", "grade", "domain", "cluster", "standard_text")
-    return fts.index(rows, "id", "standard_text", "domain", "cluster").select("id", F.size("words").alias("n"))

@@ -106,30 +106,6 @@ def txt_suggest(spark, root) -> DataFrame:
     return tools.suggestions(s, inputs, HUB)
 
 
-@query(
-    with_("sp AS (SELECT DISTINCT id, system, subject, grade, domain, cluster, standard_text FROM standards)", "u AS (SELECT parent_id, count(DISTINCT id) AS parts FROM sub_standards GROUP BY 1)", "e AS (SELECT DISTINCT * FROM standard_relationships)",
-          "p AS (SELECT *, max(CASE WHEN method = 'llm_prereq' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, relationship) AS m FROM e)", "n AS (SELECT source_id, count(DISTINCT CASE WHEN relationship = 'prerequisite' THEN target_id END) AS pre, count(DISTINCT CASE WHEN relationship = 'successor' THEN target_id END) AS suc FROM p WHERE m = 0 OR method = 'llm_prereq' GROUP BY 1)")
-    + "SELECT sp.id, grade, standard_text, coalesce(parts, 0)::INTEGER AS parts, coalesce(pre, 0)::INTEGER AS prerequisites, coalesce(suc, 0)::INTEGER AS successors FROM sp LEFT JOIN u ON u.parent_id = sp.id LEFT JOIN n ON n.source_id = sp.id WHERE sp.system = 'heim-plan'"
-)
-def tool_lookup(spark, root) -> DataFrame:
-    t = Tables(spark, root)
-    s = t.standards()
-    inputs = s.where("system = 'heim-plan'").select(F.col("id").alias("input")).distinct()
-    found = tools.lookup(s, t.subs("id", "parent_id", "position", "text"), t.edges(), inputs, "heim-plan", validated="llm_prereq")
-    size = lambda c: F.coalesce(F.size(F.array_distinct(F.transform(c, lambda x: x["id"]))), F.lit(0))
-    return found.select("id", "grade", "standard_text", F.coalesce(F.size("sub_standards"), F.lit(0)).alias("parts"), size(F.col("prerequisites")).alias("prerequisites"), size(F.col("successors")).alias("successors"))
-
-
-@query()
-def tool_path(spark, root) -> DataFrame:
-    from ..operators.graph import prerequisites
-    from .graph import _roots
-
-    t = Tables(spark, root)
-    p = tools.path(t.standards("id", "grade"), t.edges(), _roots(t, prerequisites(t.edges(), include_soft=True)), include_soft=True)
-    return p.select("root", "step", "id", "grade", F.array_join("prerequisites", ",").alias("prerequisites"))
-
-
 _SNAP = "SELECT x.system, string_agg(DISTINCT x.subject, ',' ORDER BY x.subject) AS subjects, count(DISTINCT x.id) AS standards, coalesce(max(l.n), 0) AS crosswalks FROM (SELECT DISTINCT id, system, subject FROM standards) x LEFT JOIN (SELECT source_system, count(DISTINCT id) AS n FROM crosswalk_mappings GROUP BY 1) l ON l.source_system = x.system GROUP BY x.system"
 
 

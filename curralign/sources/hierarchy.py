@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ranking import top_per_group
 
@@ -145,10 +146,13 @@ def hashed_ngrams(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return call
 
 
-def last_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``key, label, reason`` of a JSON-lines file; the last line of a key counts, other lines and unknown labels do not."""
-    rows = spark.read.schema("key string, label string, reason string").json(path).withColumn("at", F.monotonically_increasing_id())
-    return top_per_group(rows.where("key is not null"), ["key"], [F.col("at").desc()], 1).where(F.col("label").isin("HARD", "SOFT", "NONE")).drop("at")
+def last_labels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``key, label, reason`` of JSON lines in one or several places, the later ones last; the last line of a key counts, other lines and unknown labels do not."""
+    rows = None
+    for turn, path in enumerate([paths] if isinstance(paths, str) else paths):
+        one = spark.read.schema("key string, label string, reason string").json(path).select("*", F.lit(turn).alias("turn"), F.monotonically_increasing_id().alias("at"))
+        rows = one if rows is None else rows.unionByName(one)
+    return top_per_group(rows.where("key is not null"), ["key"], [F.col("turn").desc(), F.col("at").desc()], 1).drop("turn").where(F.col("label").isin("HARD", "SOFT", "NONE")).drop("at")
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -157,11 +161,36 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def decoded_vectors(df: DataFrame, blob: str, dim: int) -> DataFrame:
-    """``df`` with ``vec``: little-endian 32-bit floats of a binary column; null where the length does not fit."""
+    """``df`` with ``vec``: little-endian 32-bit floats of a binary column; null where the length does not fit. One buffer is read for each batch."""
     import numpy as np
+    import pyarrow as pa
 
-    @F.pandas_udf("array<float>")
-    def read(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: np.frombuffer(b, dtype="<f4") if b is not None and len(b) == 4 * dim else None)
+    kept = [c for c in df.columns if c != "vec"]
 
-    return df.withColumn("vec", read(F.col(blob)))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column(blob).to_pylist()
+            good = [b is not None and len(b) == 4 * dim for b in blobs]
+            flat = np.frombuffer(b"".join(b for b, g in zip(blobs, good, strict=True) if g), dtype="<f4")
+            ends = np.concatenate([[0], np.cumsum(good)]).astype(np.int32) * dim
+            vec = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([not g for g in good]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), vec], names=[*kept, "vec"])
+
+    schema = df.select(*kept).schema.add("vec", T.ArrayType(T.FloatType()))
+    return df.select(*kept).mapInArrow(read, schema)
+
+
+def encoded_vectors(df: DataFrame, vec: str, blob: str) -> DataFrame:
+    """``df`` with ``blob``: the vector column as little-endian 32-bit floats; null for null."""
+    import numpy as np
+    import pyarrow as pa
+
+    kept = [c for c in df.columns if c != blob]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in batch.column(vec).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, pa.binary())], names=[*kept, blob])
+
+    schema = df.select(*kept).schema.add(blob, T.BinaryType())
+    return df.select(*kept).mapInArrow(write, schema)

@@ -9,15 +9,44 @@ from pyspark.sql import functions as F
 def write_version(df: DataFrame, root: str, version: str, partition_by: tuple[str, ...] = ()) -> str:
     """``df`` as a new version under ``root``; it becomes current when a pointer file is written, after all data is there."""
     path = f"{root}/{version}"
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").text(f"{root}/_versions")
+    df.write.mode("overwrite" if not has_version(df.sparkSession, root, version) else "errorifexists").partitionBy(*partition_by).parquet(path)
+    spark = df.sparkSession
+    turn = _last_turn(spark, root) + 1
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("errorifexists").text(f"{root}/_versions/{_TURN}={turn}")
     return path
 
 
+_TURN = "turn"
+
+
+def _turns(spark: SparkSession, root: str) -> DataFrame | None:
+    """``value, turn``: the versions with their numbers; None before the first."""
+    try:
+        return spark.read.text(f"{root}/_versions")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def _last_turn(spark: SparkSession, root: str) -> int:
+    turns = _turns(spark, root)
+    return 0 if turns is None else turns.agg(F.max(_TURN)).first()[0] or 0
+
+
+def has_version(spark: SparkSession, root: str, version: str | None = None) -> bool:
+    """Whether a version, or any, was written to its end."""
+    turns = _turns(spark, root)
+    return turns is not None and not (turns if version is None else turns.where(F.col("value") == version)).isEmpty()
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     """The version that was written last."""
-    last = spark.read.text(f"{root}/_versions").select(F.col("value"), F.col("_metadata.file_modification_time").alias("at")).orderBy(F.col("at").desc(), F.col("value").desc()).first()
-    return spark.read.parquet(f"{root}/{last['value']}")
+    turns = _turns(spark, root)
+    if turns is None:
+        raise FileNotFoundError(f"{root} has no version")
+    last = turns.agg(F.max_by("value", _TURN)).first()[0]
+    return spark.read.parquet(f"{root}/{last}")
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
@@ -26,11 +55,29 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: tuple[str, ...]
 
 
 def write_json_lines(df: DataFrame, path: str) -> DataFrame:
-    """Writes JSON lines and returns ``file, lines, bytes, sha256`` for each file, hashed in the cluster."""
+    """Writes JSON lines and returns ``file, lines, bytes, checksum`` for each file, read again line by line from storage.
+
+    The checksum is the sum of :func:`line_hash` over the file's lines, so files are never held whole and their sums add up to the table's.
+    """
     df.write.mode("overwrite").json(path)
-    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
-    lines = F.length(F.regexp_replace(F.decode("content", "UTF-8"), r"[^\n]", ""))
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), lines.alias("lines"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    lines = df.sparkSession.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), "value")
+    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.sum(line_hash(F.col("value"))).alias("checksum"))
+
+
+def line_hash(line: F.Column) -> F.Column:
+    """The first 40 bits of a line's MD5 as a number."""
+    return F.conv(F.substring(F.md5(line), 1, 10), 16, 10).cast("bigint")
+
+
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
+    """``name, n, checksum``: the rows of each table and the sum of their hashes as JSON, whatever their order."""
+    out = None
+    for name, df in tables.items():
+        one = df.select(line_hash(F.to_json(F.struct(*df.columns))).alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum("h"), F.lit(0)).alias("checksum")).select(F.lit(name).alias("name"), "n", "checksum")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no tables")
+    return out
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import sinks
+
 
 def first_seen(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
     """The first row of each key; state is dropped ``delay`` after the latest time seen."""
@@ -34,3 +36,21 @@ def embed_new(stream: DataFrame, done: Callable[[], DataFrame], embed: Callable[
         embed(new).write.mode("append").parquet(out)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_new(stream: DataFrame, keys: list[str], at: str, root: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch merged into the current version of a table under ``root``: the latest row of each key wins.
+
+    A version is named by its batch, so a batch that is repeated after a failure finds its version and changes nothing.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark, name = batch.sparkSession, f"batch-{number}"
+        rest = [c for c in batch.columns if c not in (*keys, at)]
+        latest = lambda df: df.groupBy(*keys).agg(F.max(F.struct(at, *rest)).alias("m")).select(*keys, *(F.col(f"m.`{c}`").alias(c) for c in [at, *rest]))
+        if sinks.has_version(spark, root, name):
+            return
+        old = sinks.read_current(spark, root) if sinks.has_version(spark, root) else batch.limit(0)
+        sinks.write_version(latest(old.unionByName(batch)), root, name)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -32,14 +32,19 @@ def test_alignment(spark, d, want):
     assert one(spark, d, grades.alignment, "int") == want
 
 
-def test_bounds_take_a_range_in_either_slot():
-    assert grades.bounds("3-6", None) == ("3", "6")
-    assert grades.bounds(None, "K to 2") == ("K", "2")
-    assert grades.bounds(4, "HS") == ("4", "HS")
-    assert grades.grade_set("6-8") == ["6", "7", "8"]
-    assert grades.grade_set([8, "k"]) == ["K", "8"]
-    assert grades.grade_set("8-6") == ["8-6"]
-    assert grades.grade_set(None) is None
+def test_bounds_take_a_range_in_either_slot(spark):
+    def bounds(start, end):
+        return tuple(spark.range(1).select(grades.written_bounds(*(F.lit(x).cast("string") for x in (start, end))).alias("b")).select("b.*").first())
+
+    assert bounds("3-6", None) == ("3", "6")
+    assert bounds(None, "K to 2") == ("K", "2")
+    assert bounds(4, "HS") == ("4", "HS")
+    g = spark.createDataFrame([(x,) for x in [*grades.GRADE_ORDER, "8-6", "x", None]], "g string")
+    let = lambda wanted: [r["g"] for r in g.where(grades.allowed(F.col("g"), wanted)).collect()]
+    assert let("6-8") == ["6", "7", "8"]
+    assert let([8, "k"]) == ["K", "8"]
+    assert let("8-6") == ["8-6"]
+    assert let("grade 3") == ["3"]
 
 
 def test_lowest_grade(spark):

@@ -40,7 +40,7 @@ def walk(floor: float, back: bool = False, roots=None) -> dict[tuple[str, str],
 
 def test_closures_have_every_root_and_twenty_steps(spark, root):
     q = queries.queries()
-    for name, back in (("gr_closure_all", False), ("gr_forward_all", True)):
+    for name, back in (("gr_closure", False), ("gr_forward", True)):
         want = walk(0.9, back)
         assert len({r for r, _ in want}) == 60 and max(want.values()) == 20
         assert {(r["root"], r["node"]): r["depth"] for r in q[name](spark, root).collect()} == want
@@ -50,9 +50,9 @@ def test_closures_have_every_root_and_twenty_steps(spark, root):
 def test_paths_and_notes_have_every_root(spark, root):
     q = queries.queries()
     want = {k: d for k, d in walk(0.9).items() if k[1] != "gone"}
-    path = q["gr_path_all"](spark, root).collect()
+    path = q["gr_path"](spark, root).collect()
     assert len(path) == len(want) and {(r["root"], r["id"]): r["depth"] for r in path} == want
-    assert rows(q["gr_path_notes_all"](spark, root), "root", "steps") == sorted((r, sum(a == r for a, _ in want)) for r in IDS)
+    assert rows(q["gr_path_notes"](spark, root), "root", "steps") == sorted((r, sum(a == r for a, _ in want)) for r in IDS)
     soft = {k for k in walk(0.5) if k[1] != "gone"}
     assert set(rows(q["tool_path"](spark, root), "root", "id")) == soft
 
