@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
+from ..operators.vectors import dot, norm
 
 #: Vectors from which centroids are fitted, at most: of all, and of each cell of the first level; chosen by the hash of their ids.
 SAMPLE = 20_000
@@ -314,6 +315,12 @@ def _second_level(rows: DataFrame, centroids: np.ndarray, dim: int, members: int
     return both.select("id", "code", "h", "cell", "own")
 
 
+def exact_cosines(near: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``near`` with the cosine of the vectors as they are, in double, in place of that of the coded ones."""
+    one, other = (vectors.select(F.col("id").alias(c), F.col("vec").alias(f"v_{c}")) for c in ("id", "nb"))
+    return near.join(one, "id").join(other, "nb").select("id", "nb", (dot(F.col("v_id"), F.col("v_nb")) / (norm(F.col("v_id")) * norm(F.col("v_nb")))).alias("cosine"), "rank_no")
+
+
 def nearest_pairs(vectors: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
     """``id_a, id_b`` with ``id_a < id_b``: at least one is among the ``k`` most similar of the other."""
     near = nearest(vectors, k, dim)
