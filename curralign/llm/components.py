@@ -6,8 +6,7 @@ choices, which the smaller end wins. Pointer doubling collapses the trees, edges
 the rounds end when no edge is left. A component at least doubles in each round, so there are at most log2(n) rounds.
 
 A vertex with very many edges loses them all in the first round, since each of its leaves hooks onto something; the
-minimum over its neighbours is aggregated before the shuffle, and relabelling joins on a key that is unique on one side, so a
-partition with such a vertex is split by the adaptive join and never held.
+minimum over its neighbours is aggregated before the shuffle, and relabelling joins on a key that is unique on one side.
 """
 
 from __future__ import annotations
@@ -15,19 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import cut, discard
+from ..operators.lineage import cut
 
 
 def _collapse(parent: DataFrame) -> DataFrame:
-    """Pointer doubling on ``v, p`` until every ``p`` is a root. Roots point at themselves. Each doubling is one join and is written, since
-    a plan of several would read its beginning twice for each of them."""
+    """Pointer doubling on ``v, p`` until every ``p`` is a root, three doublings at a time. Roots point at themselves."""
     while True:
-        up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        now = cut(parent.select("v", "p").join(up, "p").select("v", F.col("p").alias("was"), F.col("q").alias("p")))
-        discard(parent)
-        parent = now
+        now = parent.withColumn("was", F.col("p"))
+        for _ in range(3):
+            up = now.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            now = now.select("v", "p").join(up, "p").select("v", F.col("p").alias("was"), F.col("q").alias("p"))
+        now = cut(now)
+        parent = now.select("v", "p")
         if now.where("p <> was").isEmpty():
-            return parent.select("v", "p")
+            return parent
 
 
 def boruvka_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -50,17 +50,16 @@ def boruvka_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         back = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
         mutual = (F.col("q") == F.col("v")) & (F.col("v") < F.col("p"))
         tree = hook.join(back, "p").select("v", F.when(mutual, F.col("v")).otherwise(F.col("p")).alias("p"))
-        root = _collapse(cut(tree))
+        root = _collapse(tree)
         moves.append(root)
         rx, ry = root.select(F.col("v").alias("x"), F.col("p").alias("rx")), root.select(F.col("v").alias("y"), F.col("p").alias("ry"))
-        before, edges = edges, cut(
+        edges = cut(
             edges.join(rx, "x")
             .join(ry, "y")
             .where("rx <> ry")
             .select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y"))
             .distinct()
         )
-        discard(before)
     if not moves:
         kind = dict(edges.dtypes)["x"]
         return edges.select(F.col("x").cast(kind).alias("id"), F.col("y").cast(kind).alias("group_id")).limit(0)
