@@ -26,15 +26,3 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the checkpoint folder, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the checkpoint of a frame from :func:`cut` that nothing reads any more; other frames are left alone."""
-    plan = df._jdf.queryExecution().analyzed()
-    if plan.nodeName() != "Scan ExistingRDD" and plan.getClass().getSimpleName() != "LogicalRDD":
-        return
-    file = plan.rdd().getCheckpointFile()
-    if file.isDefined():
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
