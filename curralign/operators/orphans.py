@@ -20,23 +20,24 @@ BITS_PER_KEY = 10
 
 @dataclass(frozen=True)
 class BloomFilter:
-    """Serialised filter of the values of one string column; ``None`` for no keys at all."""
+    """Filter of the values of one string column: a frame of one row and one column, null for no keys at all.
 
-    blob: bytes | None
+    Plans ask it as a scalar subquery. As a literal its hexadecimal digits would stand in every text of a plan that the driver keeps.
+    """
+
+    one: DataFrame
 
     def might_contain(self, col: Column) -> Column:
         """False only for values that were certainly not among the keys. The value is hashed as a string."""
-        if self.blob is None:
-            return F.lit(False)
         from pyspark import SparkContext
         from pyspark.sql.classic.column import Column as ClassicColumn
 
         jvm = SparkContext._active_spark_context._jvm
         to = jvm.org.apache.spark.sql.classic.ExpressionUtils
         test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(
-            to.expression(F.lit(self.blob)._jc), to.expression(F.xxhash64(col.cast("string"))._jc)
+            to.expression(self.one.scalar()._jc), to.expression(F.xxhash64(col.cast("string"))._jc)
         )
-        return ClassicColumn(to.column(test))
+        return F.coalesce(ClassicColumn(to.column(test)), F.lit(False))
 
 
 def bloom_filter(df: DataFrame, key: str, max_bits: int = MAX_BITS) -> BloomFilter:
@@ -49,8 +50,7 @@ def bloom_filter(df: DataFrame, key: str, max_bits: int = MAX_BITS) -> BloomFilt
     agg = InternalFunction._invoke_internal_function_over_columns(
         "bloom_filter_agg", F.xxhash64("k"), F.lit(int(n)).cast("long"), F.lit(int(bits)).cast("long")
     )
-    blob = keys.agg(agg.alias("b")).first()["b"]
-    return BloomFilter(None if blob is None else bytes(blob))
+    return BloomFilter(keys.agg(agg.alias("b")))
 
 
 def find_orphans(refs: DataFrame, parents: DataFrame, retired: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -33,6 +33,15 @@ def test_a_full_bloom_filter_loses_no_orphan(spark):
     assert orphans.find_orphans(refs, parents, parents.select("id").limit(0), max_bits=1024).count() == 1000
 
 
+def test_no_text_of_a_plan_holds_the_bloom_filter(spark):
+    keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    known = orphans.bloom_filter(keys, "k")
+    asked = spark.range(19_000, 40_000).select(F.col("id").cast("string").alias("k")).where(known.might_contain(F.col("k")))
+    assert 1000 <= asked.count() < 2000
+    assert len(asked._jdf.queryExecution().toString()) < 20_000
+    assert spark.range(5).where(orphans.bloom_filter(keys.limit(0), "k").might_contain(F.col("id"))).count() == 0
+
+
 def test_ranking(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("a", 3, None), ("b", 1, None)], "k string, p int, h string")
     assert [r[2] for r in rows(ranking.fill_forward(df, ["k"], "p", "h"), "k", "p", "h")] == [None, "x", "x", None]
