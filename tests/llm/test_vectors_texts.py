@@ -131,6 +131,12 @@ def test_similar_pairs_match_brute_force(spark, seed):
     assert all(groups[a][1] == groups[b][1] for a, b in want)
 
 
+def test_plans_hold_no_filter_of_candidates(spark):
+    df = spark.createDataFrame([t for t in corpus(1) if t[0]], "id string, txt string")
+    plan = neardup.similar_classes(df, "id", "txt", 0.8, 25)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "might_contain(" in plan and "might_contain(0x" not in plan
+
+
 def test_no_texts(spark):
     df = spark.createDataFrame([], "id string, txt string")
     assert neardup.similar_pairs(df, "id", "txt").count() == 0
