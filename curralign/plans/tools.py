@@ -16,6 +16,8 @@ from .crosswalk import best_any, hub_reverse, precomputed, two_hop
 
 PROGRESSION_FLOOR, PROGRESSION_K = 0.5, 3
 FALLBACK_FLOOR, FALLBACK_K = 0.35, 3
+#: Elements of a block of searches: 16,384 vectors of 64.
+SEARCH_NUMBERS = 1_048_576
 
 
 def scoped(standards: DataFrame, hubs: dict[str, str], system: str | None = None, subject: str | None = None) -> DataFrame:
@@ -74,7 +76,7 @@ def search_many(rows: DataFrame, asked: DataFrame, limit: int = 5) -> DataFrame:
     (``id, vec, scope``) of each input's scope, equal scores by larger id. One blocked join answers all inputs."""
     left = asked.select(F.col("q").cast("string").alias("id"), "vec", F.lit(0).alias("rank"), "scope")
     right = rows.select("id", "vec", F.lit(0).alias("rank"), "scope")
-    found = similarity_join(left, right, "scope", -1.0, (), None, limit, ties=-1)
+    found = similarity_join(left, right, "scope", -1.0, (), None, limit, ties=-1, numbers=SEARCH_NUMBERS)
     best = ranked(found, ["a"], [F.col("cosine").desc(), F.col("b").desc()], "rank_no").where(F.col("rank_no") <= limit)
     return best.select(F.col("a").alias("q"), F.col("b").alias("id"), F.col("cosine").alias("score"), "rank_no")
 

@@ -42,6 +42,41 @@ def test_no_text_of_a_plan_holds_the_bloom_filter(spark):
     assert spark.range(5).where(orphans.bloom_filter(keys.limit(0), "k").might_contain(F.col("id"))).count() == 0
 
 
+def test_cosines_of_a_join_are_rounded_without_a_constant():
+    import pyarrow as pa
+
+    a, b = np.float32([1.0, 0.0]), np.array([0.97105 + 1e-10, np.sqrt(1 - (0.97105 + 1e-10) ** 2)])
+    t = pa.table({"side": [False, True], "vec": pa.array([list(a), list(b)], pa.list_(pa.float64())), "id": ["a", "b"], "rank": pa.array([0, 0], pa.int32())})
+    assert [vectors._block_pairs(t, -1.0, [], None, top, 1)["cosine"].to_pylist() for top in (None, 1)] == [[0.9711], [0.9711]]
+
+
+@pytest.mark.parametrize(("rule", "threshold", "top", "ties"), [(None, -1.0, 5, -1), ("within:2", 0.1, 1, 1), ("below:3", 0.05, 4, 1), (None, -2.0, 300, 1)])
+def test_the_best_few_are_found_without_sorting_all_pairs(monkeypatch, rule, threshold, top, ties):
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(700, 8)).astype(np.float32)
+    x[r.integers(0, 700, 200)] = x[5]
+    x[11], x[13, 2] = 0, np.nan
+    t = pa.table({"side": np.arange(700) >= 100, "vec": pa.array(list(x), pa.list_(pa.float32())), "id": [f"i{k * 17 % 700:03}" for k in range(700)], "rank": pa.array([k % 7 for k in range(700)], pa.int32())})
+    length = np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    y = x.astype(float) / np.where(length == 0, 1, length)
+    cos = np.round(y[:100] @ y[100:].T, 4)
+    ids, rank, want = t["id"].to_pylist(), np.arange(700) % 7, set()
+    for i in range(100):
+        gap = rank[100:] - rank[i]
+        ok = (cos[i] >= threshold) & {None: gap < 99, "within:2": abs(gap) <= 2, "below:3": (gap < 0) & (gap >= -3)}[rule]
+        best = sorted((ids[100 + j] for j in np.flatnonzero(ok)), reverse=ties < 0)
+        want |= {(ids[i], b) for b in sorted(best, key=lambda b: -cos[i][ids.index(b) - 100])[:top]}
+    sizes, lexsort = [], np.lexsort
+    monkeypatch.setattr(vectors.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or lexsort(keys))
+    for width in (64, 4096):
+        monkeypatch.setattr(vectors, "WIDTH", width, raising=False)
+        got = vectors._block_pairs(t, threshold, [], rule, top, ties)
+        assert set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == want and got.num_rows == len(want)
+    assert rule or top > 100 or max(sizes) < 20_000
+
+
 def test_ranking(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("a", 3, None), ("b", 1, None)], "k string, p int, h string")
     assert [r[2] for r in rows(ranking.fill_forward(df, ["k"], "p", "h"), "k", "p", "h")] == [None, "x", "x", None]
