@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,18 +192,20 @@ def _sign(batches: Iterator[pa.RecordBatch], rows: int, bands: int, parts: int)
     salt = np.arange(1, bands + 1, dtype=np.uint64) * _GOLD
     held: list[tuple[np.ndarray, np.ndarray]] = []
     seen: set[tuple[int, int]] = set()
-    turn = 0
+    # classes go to targets by task and turn: by turn alone the first few targets would get those of the whole table
+    task = TaskContext.get()
+    place, turn = np.uint64(task.partitionId() if task else 0) << np.uint64(32), 0
 
     def packed(part: list[int], blob: list[bytes], ids: list[list[str] | None]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary()), pa.array(ids, pa.list_(pa.string()))], names=["part", "blob", "ids"])
 
     def send() -> pa.RecordBatch:
-        place, entry = (np.concatenate(x) for x in zip(*held, strict=True))
+        to, entry = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.argsort(place, kind="stable")
-        place, entry = place[order], entry[order]
-        cuts = np.flatnonzero(np.diff(place)) + 1
-        return packed(place[np.concatenate([[0], cuts])].tolist(), [x.tobytes() for x in np.split(entry, cuts)], [None] * (len(cuts) + 1))
+        order = np.argsort(to, kind="stable")
+        to, entry = to[order], entry[order]
+        cuts = np.flatnonzero(np.diff(to)) + 1
+        return packed(to[np.concatenate([[0], cuts])].tolist(), [x.tobytes() for x in np.split(entry, cuts)], [None] * (len(cuts) + 1))
 
     for batch in batches:
         if not batch.num_rows:
@@ -212,7 +215,7 @@ def _sign(batches: Iterator[pa.RecordBatch], rows: int, bands: int, parts: int)
         flat, ends = np.asarray(col.values)[ends[0] : ends[-1]].view(np.uint64), ends - ends[0]
         info = _classes(flat, ends)
         turn += 1
-        yield packed([-1 - turn % parts], [info.tobytes()], [batch.column("id").to_pylist()])
+        yield packed([-1 - int(_mix(place | np.uint64(turn)) % np.uint64(parts))], [info.tobytes()], [batch.column("id").to_pylist()])
         keys = list(zip(info["low"].tolist(), info["hash"].tolist(), strict=True))
         fresh = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]  # copies in a task are signed once
         if len(seen) > KEPT:

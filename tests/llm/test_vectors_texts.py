@@ -131,6 +131,14 @@ def test_similar_pairs_match_brute_force(spark, seed):
     assert all(groups[a][1] == groups[b][1] for a, b in want)
 
 
+def test_classes_of_all_tasks_are_spread_over_targets(spark):
+    df = spark.createDataFrame([(f"i{i}", f"word{i} word{i + 1} word{i + 2}") for i in range(80)], "id string, txt string").repartition(8)
+    signed = neardup.word_sets(df, "id", "txt", 1).mapInArrow(lambda it: neardup._sign(it, neardup.ROWS, neardup.BANDS, 1_000), "part int, blob binary, ids array<string>")
+    sent = signed.where("part < 0").select("part", "ids").collect()
+    assert sorted(i for r in sent for i in r.ids) == sorted(f"i{i}" for i in range(80))
+    assert len(sent) == 8 and len({r.part for r in sent}) > 4 and min(r.part for r in sent) >= -1_000
+
+
 def test_plans_hold_no_filter_of_candidates(spark):
     df = spark.createDataFrame([t for t in corpus(1) if t[0]], "id string, txt string")
     plan = neardup.similar_classes(df, "id", "txt", 0.8, 25)[1]._jdf.queryExecution().optimizedPlan().toString()
